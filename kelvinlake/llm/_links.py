@@ -1,7 +1,7 @@
 """From bucketed rows to verified links, without all pairs of a bucket.
 
-A bucket is a set of rows with one key. In a first round a small bucket gives its
-pairs, a dense one links its members to its leader only. In a second round dense
+A bucket is a set of rows with one key. In a first round a bucket with few near
+pairs gives them all, a dense one links its members to its leader only. In a second round dense
 buckets give the pairs that components of the verified links still keep apart,
 so each link that could join two components is looked at, and a group of G
 copies costs G links rather than G * G / 2.
@@ -21,8 +21,10 @@ from kelvinlake.scratch import Scratch
 
 _FIRST = "key long, a long, b long, sig long"
 _SECOND = "a long, b long"
-#: Members up to which a bucket gives all its pairs at once.
+#: Members up to which buckets of one size are compared together.
 SMALL = 8
+#: Near pairs per member up to which a bucket gives them all at once.
+SPARSE = 4
 #: Compared at once in a dense bucket.
 BLOCK = 2048
 
@@ -57,6 +59,22 @@ def _batch(schema: str, cols: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in cols], names)
 
 
+def _few_pairs(sig: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """The near pairs of a bucket, or None if it has more than ``SPARSE`` per member."""
+    m, count, found = len(sig), 0, []
+    if most is None:  # all pairs are near
+        return None if (m - 1) / 2 > SPARSE else np.triu_indices(m, 1)
+    for at in range(0, m, BLOCK):
+        for to in range(at, m, BLOCK):
+            i, j = np.nonzero(_near(sig[at : at + BLOCK, None], sig[None, to : to + BLOCK], most))
+            later = i + at < j + to
+            found.append((i[later] + at, j[later] + to))
+            count += len(found[-1][0])
+            if count > SPARSE * m:
+                return None
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
 def _first_round(most: int | None):
     def run(batches):
         for key, ids, sig in _runs(batches, ["key", "id", "sig"]):
@@ -70,9 +88,15 @@ def _first_round(most: int | None):
                         ok = _near(sig[at + i], sig[at + j], most)
                         a.append(ids[(at + i)[ok]])
                         b.append(ids[(at + j)[ok]])
-            dense = np.flatnonzero(size > SMALL)
-            rows = [np.arange(start[d], start[d] + size[d]) for d in dense]
-            for r in rows:
+            rows = []
+            for lo, m in zip(start[size > SMALL], size[size > SMALL], strict=True):
+                pairs = _few_pairs(sig[lo : lo + m], most)
+                if pairs is not None:
+                    a.append(ids[lo + pairs[0]])
+                    b.append(ids[lo + pairs[1]])
+                    continue
+                r = np.arange(lo, lo + m)
+                rows.append(r)
                 ok = r[1:][_near(sig[r[0]], sig[r[1:]], most)]
                 a.append(np.full(len(ok), ids[r[0]]))
                 b.append(ids[ok])
