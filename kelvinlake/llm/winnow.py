@@ -81,9 +81,14 @@ def digest(prints: Column) -> Column:
     return F.sha2(F.array_join(F.transform(prints, lambda v: F.hex(v)), ","), 256)
 
 
-def with_next(docs: DataFrame, scratch: Scratch, carried: list[str], per_bucket: int = 1024) -> DataFrame:
-    """``docs`` with ``next_*`` of the columns ``carried``, taken from the row that
-    follows by ascending doc_id (then text; nulls first), the first after the last.
+#: Characters of the table of first rows that may be broadcast.
+BROADCAST_CHARS = 16_000_000
+
+
+def with_next(docs: DataFrame, scratch: Scratch, per_bucket: int = 1024) -> DataFrame:
+    """``docs`` with ``next_text`` and ``next_prints`` (null where the row that follows is
+    the first of another range of ids): the row that follows by ascending doc_id (then
+    text; nulls first), the first one after the last.
 
     Rows are grouped by ranges of doc_id, so a window sees a bounded range. Only the
     first row of each range moves besides: it follows the last one of the range
@@ -93,23 +98,22 @@ def with_next(docs: DataFrame, scratch: Scratch, carried: list[str], per_bucket:
     bucket = F.when(F.col("doc_id").isNotNull(), F.floor(F.col("doc_id") / per_bucket).cast("long"))
     rows = docs.withColumn("_bucket", bucket)
     place = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("d"), F.col("text").alias("t"))
-    first = scratch.store(
-        rows.groupBy("_bucket").agg(F.min_by(F.struct(*carried), place).alias("_first")), "first"
-    )
-    line = Window.orderBy(F.col("_bucket").asc_nulls_first())
+    first = scratch.store(rows.groupBy("_bucket").agg(F.min(place)["t"].alias("_first")), "first")
     start = first.select("_bucket").orderBy(F.col("_bucket").asc_nulls_first()).limit(1).collect()
     if not start:
-        return docs.withColumns({f"next_{c}": F.col(c) for c in carried})
+        return docs.withColumns({"next_text": F.col("text"), "next_prints": F.col("prints")})
+    line = Window.orderBy(F.col("_bucket").asc_nulls_first())
     follow = first.select(
         F.col("_bucket").alias("_b"), F.lead("_bucket").over(line).alias("_to"), F.lead(F.lit(1)).over(line).isNull().alias("_end")
     )
     follow = follow.withColumn("_to", F.when(F.col("_end"), F.lit(start[0][0])).otherwise(F.col("_to"))).drop("_end")
     after = follow.join(first, F.col("_to").eqNullSafe(F.col("_bucket"))).select("_b", F.col("_first").alias("_after"))
+    if first.agg(F.sum(F.length("_first"))).first()[0] <= BROADCAST_CHARS:
+        after = F.broadcast(after)
     within = Window.partitionBy("_bucket").orderBy(*order)
-    led = rows.withColumn("_next", F.lead(F.struct(*carried)).over(within))
+    led = rows.withColumn("_next", F.lead(F.struct("text", "prints")).over(within))
     joined = led.join(after, F.col("_next").isNull() & F.col("_bucket").eqNullSafe(F.col("_b")), "left")
-    following = F.coalesce(F.col("_next"), F.col("_after"))
-    out = joined.withColumns({f"next_{c}": following[c] for c in carried})
+    out = joined.withColumns({"next_text": F.coalesce(F.col("_next.text"), F.col("_after")), "next_prints": F.col("_next.prints")})
     return out.drop("_bucket", "_next", "_after", "_b")
 
 
@@ -124,20 +128,26 @@ def fingerprint_edited(docs: DataFrame, scratch: Scratch | None = None, *, gram:
     """
     scratch = scratch or Scratch(docs.sparkSession, "winnow")
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = fingerprint(base, "text", "prints", gram, window).withColumn("set", hashes(F.col("prints")))
-    rows = with_next(base, scratch, ["text", "set"])
+    rows = with_next(fingerprint(base, "text", "prints", gram, window), scratch)
     size = F.length("text")
     quarter = F.floor(size / 4).cast("int")
     rows = rows.select(
         "doc_id",
         size.cast("long").alias("n_chars"),
         F.concat(F.substring("text", F.lit(1), size - quarter), F.substring("next_text", F.lit(1), quarter)).alias("edited_text"),
+        F.when(F.col("next_prints").isNull(), F.col("next_text")).alias("far_text"),
         "prints",
-        "set",
-        "next_set",
+        "next_prints",
     )
-    rows = fingerprint(rows, "edited_text", "edited_prints", gram, window).withColumn(
-        "edited_set", hashes(F.col("edited_prints"))
+    rows = fingerprint(rows, "edited_text", "edited_prints", gram, window)
+    # few rows are followed by one of another range; for the others this text is null
+    rows = fingerprint(rows, "far_text", "far_prints", gram, window)
+    rows = rows.withColumns(
+        {
+            "set": hashes(F.col("prints")),
+            "edited_set": hashes(F.col("edited_prints")),
+            "next_set": hashes(F.coalesce(F.col("next_prints"), F.col("far_prints"))),
+        }
     )
     return rows.select(
         "doc_id",
