@@ -29,6 +29,16 @@ SPARSE = 4
 BLOCK = 2048
 
 
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of two longs, or differing bytes of two rows of bytes."""
+    if x.dtype == np.uint8:
+        out = np.zeros(np.broadcast_shapes(x.shape[:-1], y.shape[:-1]), np.int16)
+        for k in range(x.shape[-1]):
+            out += x[..., k] != y[..., k]
+        return out
+    return np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int16)
+
+
 def _near(x: np.ndarray, y: np.ndarray, most: int | None) -> np.ndarray:
     """Which of x and y (broadcast) are within ``most`` bits; all if None."""
     if most is None:
@@ -43,7 +53,12 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(n).fill_null(0).to_numpy() for n in names]
+        cols = [
+            np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            if pa.types.is_binary(batch.column(n).type)
+            else batch.column(n).fill_null(0).to_numpy()
+            for n in names
+        ]
         last = int(np.searchsorted(-(cols[0] != cols[0][-1]).astype(np.int8), 0))
         if last or (held and held[-1][0][-1] != cols[0][0]):
             held.append([c[:last] for c in cols])
@@ -111,7 +126,10 @@ def _first_round(most: int | None):
     return run
 
 
-def _second_round(most: int | None):
+def _apart(most: int, few: int | None):
+    """Near pairs of rows that belong to different components: all, or for each row
+    outside the largest component the ``few`` nearest ones."""
+
     def run(batches):
         for key, ids, root, sig in _runs(batches, ["key", "id", "root", "sig"]):
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
@@ -121,16 +139,24 @@ def _second_round(most: int | None):
                     continue
                 # the largest component's members are compared with the others', not with each other
                 values, counts = np.unique(roots, return_counts=True)
-                rest = np.flatnonzero(roots != values[counts.argmax()])
+                main = roots == values[counts.argmax()]
+                rest = np.flatnonzero(~main)
                 i_, s_ = ids[part], sig[part]
-                for at in range(0, len(rest), BLOCK):
-                    r = rest[at : at + BLOCK, None]
-                    for to in range(0, hi - lo, BLOCK):
-                        c = np.arange(to, min(to + BLOCK, hi - lo))[None]
-                        apart = (roots[r] != roots[c]) & ((roots[c] == values[counts.argmax()]) | (r < c))
-                        x, y = np.nonzero(apart & _near(s_[r], s_[c], most))
-                        if len(x):
-                            yield _batch(_SECOND, [i_[r[x, 0]], i_[c[0, y]]])
+                step = max(1, BLOCK * BLOCK // 8 // (hi - lo))
+                for at in range(0, len(rest), step):
+                    r = rest[at : at + step]
+                    cost = _distance(s_[r][:, None], s_[None])
+                    no = (roots[r][:, None] == roots[None]) | (cost > most)
+                    if few is None:
+                        x, y = np.nonzero(~no & (main[None] | (r[:, None] < np.arange(hi - lo)[None])))
+                    else:
+                        k = min(few, hi - lo)
+                        best = np.argpartition(np.where(no, 10_000, cost), k - 1, axis=1)[:, :k]
+                        x = np.repeat(np.arange(len(r)), k)
+                        y = best.ravel()
+                        x, y = x[~no[x, y]], y[~no[x, y]]
+                    if len(x):
+                        yield _batch(_SECOND, [i_[r[x]], i_[y]])
 
     return run
 
@@ -140,12 +166,19 @@ def _ordered(df: DataFrame, *order) -> DataFrame:
 
 
 def link(
-    rows: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, most: int | None = None
+    rows: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    scratch: Scratch,
+    most: int | None = None,
+    codes: DataFrame | None = None,
+    most_bytes: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """(components as (node, root), verified links as (a, b)).
 
     ``rows``: key, id, weight, sig (long; sig only where ``most`` bits may differ).
-    ``verify`` keeps the pairs (a, b) that are links.
+    ``verify`` keeps the pairs (a, b) that are links. ``codes``: id, sig (binary of
+    one width), by which members of dense buckets are near if ``most_bytes`` bytes
+    differ at most.
     """
     first = scratch.store(
         _ordered(rows, F.col("weight").desc(), "id")
@@ -153,24 +186,28 @@ def link(
         .mapInArrow(_first_round(most), _FIRST),
         "first",
     )
-    pairs = first.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = scratch.store(verify(pairs), "links")
+    tried = first.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = scratch.store(tried, "tried")
+    links = scratch.store(verify(tried), "links")
     roots = components(links, scratch)
     dense = first.where("b is null").select("key", F.col("a").alias("id"), "sig")
-    if dense.limit(1).count():
+    if codes is not None:
+        dense = dense.drop("sig").join(codes, "id")
+    for few in (SPARSE, None) if first.where("b is null").limit(1).count() else ():
         left = dense.join(roots, dense.id == roots.node, "left").select(
             "key", "id", F.coalesce("root", "id").alias("root"), "sig"
         )
         more = (
             _ordered(left, "id")
-            .mapInArrow(_second_round(most), _SECOND)
+            .mapInArrow(_apart(most if codes is None else most_bytes, few), _SECOND)
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .distinct()
-            .join(pairs, ["a", "b"], "left_anti")
+            .join(tried, ["a", "b"], "left_anti")
         )
+        more = scratch.store(more, "more")
+        tried = tried.unionByName(more)
         found = scratch.store(verify(more), "links")
         if found.limit(1).count():
             links = links.unionByName(found)
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found), scratch)
-    scratch.drop(first)
     return roots, links
