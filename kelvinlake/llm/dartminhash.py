@@ -33,8 +33,8 @@ BANDS, ROWS = 20, 6
 _MASK = np.uint64((1 << 24) - 1)
 _LOG = 1 + np.log(np.maximum(np.arange(4096), 1))
 #: Members of dense buckets whose signatures agree in fewer coordinates than this
-#: share (4.5 standard errors below 0.8) aren't verified pair by pair.
-LEAST_AGREEMENT = 0.64
+#: share (2.7 standard errors below 0.8) aren't verified pair by pair.
+LEAST_AGREEMENT = 0.7
 
 
 def signatures(element: np.ndarray, weight: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
