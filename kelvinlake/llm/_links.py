@@ -126,9 +126,11 @@ def _first_round(most: int | None):
     return run
 
 
-def _apart(most: int, few: int | None):
+def _apart(most: int, few: int | None, width: int | None):
     """Near pairs of rows that belong to different components: all, or for each row
-    outside the largest component the ``few`` nearest ones."""
+    outside the largest component the ``few`` nearest ones. Where sig is bytes, the
+    first ``width`` are compared, and the rest is the low halves of all of its row's
+    keys: a pair that meets under an earlier key is left to that bucket."""
 
     def run(batches):
         for key, ids, root, sig in _runs(batches, ["key", "id", "root", "sig"]):
@@ -142,11 +144,18 @@ def _apart(most: int, few: int | None):
                 main = roots == values[counts.argmax()]
                 rest = np.flatnonzero(~main)
                 i_, s_ = ids[part], sig[part]
+                keys = None
+                if width is not None:
+                    keys = np.ascontiguousarray(s_[:, width:]).view(np.uint32)
+                    keys = keys[:, : int(np.flatnonzero(keys[0] == np.uint32(int(key[lo]) & 0xFFFFFFFF))[0])]
+                    s_ = s_[:, :width]
                 step = max(1, BLOCK * BLOCK // 8 // (hi - lo))
                 for at in range(0, len(rest), step):
                     r = rest[at : at + step]
                     cost = _distance(s_[r][:, None], s_[None])
                     no = (roots[r][:, None] == roots[None]) | (cost > most)
+                    for k in range(0 if keys is None else keys.shape[1]):
+                        no |= keys[r, k][:, None] == keys[None, :, k]
                     if few is None:
                         x, y = np.nonzero(~no & (main[None] | (r[:, None] < np.arange(hi - lo)[None])))
                     else:
@@ -172,6 +181,7 @@ def link(
     most: int | None = None,
     codes: DataFrame | None = None,
     most_bytes: int = 0,
+    width: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(components as (node, root), verified links as (a, b)).
 
@@ -199,7 +209,7 @@ def link(
         )
         more = (
             _ordered(left, "id")
-            .mapInArrow(_apart(most if codes is None else most_bytes, few), _SECOND)
+            .mapInArrow(_apart(most if codes is None else most_bytes, few, width), _SECOND)
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .distinct()
             .join(tried, ["a", "b"], "left_anti")

@@ -116,7 +116,8 @@ def _sign(size: int, bands: int, rows: int):
                     np.arange(len(band) + 1, dtype=np.int32) * bands, pa.array(band.view(np.int64).ravel())
                 )
                 low = (sig.reshape(-1, k) & np.uint64(255)).astype(np.uint8)
-                code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(k), len(low), [None, pa.py_buffer(low.tobytes())])
+                low = np.concatenate([low, (band & np.uint64(0xFFFFFFFF)).astype("<u4").view(np.uint8).reshape(len(low), -1)], 1)
+                code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(low.shape[1]), len(low), [None, pa.py_buffer(low.tobytes())])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("row"), pa.array(key), pa.array(words), lists, code.cast(pa.binary())],
                     ["doc_id", "row", "key", "words", "bands", "code"],
@@ -188,7 +189,7 @@ def near_duplicates(
 
     codes = classes.select(F.col("key").alias("id"), F.col("code").alias("sig"))
     apart = int(bands * rows * (1 - LEAST_AGREEMENT * threshold / 0.8))
-    roots, _ = link(banded, verify, scratch, codes=codes, most_bytes=apart)
+    roots, _ = link(banded, verify, scratch, codes=codes, most_bytes=apart, width=bands * rows)
     grouped = classes.join(roots, classes.key == roots.node, "left").select(
         "key", F.coalesce("root", "key").alias("root"), "least", "n"
     )
