@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelvinlake.llm._arrays import slices
-from kelvinlake.llm.wordbpe import encoder
+from kelvinlake.llm.wordbpe import TEXT_BYTES, encoder
 
 WINDOW, UNIT, DEPTH, SHARD_TOKENS = 2048, 64, 4, 4_000_000
 END = 1
@@ -184,7 +184,7 @@ def _pack(path: str, window: int, unit: int, depth: int, shard: int):
             return out
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 found, off = encoder(path).encode(part.column("text"))
                 ids.append(np.insert(found, off[1:], END))
                 ends.append(np.diff(off) + 1)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from kelvinlake.llm._arrays import slices
 from kelvinlake.llm._fetch import BROADCAST_ROWS
-from kelvinlake.llm.wordbpe import encoder
+from kelvinlake.llm.wordbpe import TEXT_BYTES, encoder
 from kelvinlake.scratch import Scratch
 
 BLOCK_BYTES = 4 << 20
@@ -43,7 +43,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, separator: i
         done = 0
         with store.open_output_stream(own) as out:
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", TEXT_BYTES):
                     ids, off = encoder(tokenizer).encode(part.column("text"))
                     out.write(np.insert(ids, off[1:], separator).astype(dtype).tobytes())
                     yield pa.RecordBatch.from_arrays(

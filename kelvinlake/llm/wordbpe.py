@@ -19,7 +19,9 @@ import pyarrow.compute as pc
 from kelvinlake.llm._arrays import as_large
 
 #: Distinct chunks whose ids one worker keeps; it starts anew beyond that.
-CACHED = 900_000
+CACHED = 1_200_000
+#: Bytes of text whose chunks are made distinct at once.
+TEXT_BYTES = 12_000_000
 
 
 class ChunkEncoder:
@@ -55,11 +57,12 @@ class ChunkEncoder:
             self.index.update(zip(part, range(have, have + len(part)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        texts = as_large(texts)
+        # the first step makes a fresh array: ascii_lower misreads slices of one
+        texts = pc.replace_substring(as_large(texts), "\n", " ")
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # lowering could spell a special token
             texts = pc.ascii_lower(texts)
         texts = pc.replace_substring_regex(texts, r"([a-z])([.,])", r"\1 \2")
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        lists = pc.split_pattern(texts, " ")
         at = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
         at = at - at[0]
