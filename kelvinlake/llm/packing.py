@@ -194,6 +194,7 @@ def _pack(path: str, window: int, unit: int, depth: int, shard: int):
                     yield flush()
         if held:
             yield flush()
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return run
 

@@ -19,9 +19,9 @@ import pyarrow.compute as pc
 from kelvinlake.llm._arrays import as_large
 
 #: Distinct chunks whose ids one worker keeps; it starts anew beyond that.
-CACHED = 1_200_000
+CACHED = 400_000
 #: Bytes of text whose chunks are made distinct at once.
-TEXT_BYTES = 12_000_000
+TEXT_BYTES = 6_000_000
 
 
 class ChunkEncoder:
@@ -67,9 +67,11 @@ class ChunkEncoder:
         coded = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
         at = at - at[0]
         chunks = coded.dictionary.to_pylist()
-        if len(self.index) + len(chunks) > CACHED:
+        new = [c for c in chunks if c not in self.index]
+        if len(self.index) + len(new) > CACHED:
             self._clear()
-        self._add([c for c in chunks if c not in self.index])
+            new = chunks
+        self._add(new)
         place = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
         chunk = place[coded.indices.to_numpy()] if len(place) else np.zeros(0, np.int64)
         start, n = self.start[chunk], self.start[chunk + 1] - self.start[chunk]
