@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,22 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         at = to
 
 
+def handing_back(run: Callable) -> Callable:
+    """``run`` over a task's batches; what it freed goes back to the system at the
+    task's end, as Python workers live on through other stages' tasks."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return task
+
+
 _pow = np.ones(1, np.uint64)
 _inv = np.ones(1, np.uint64)
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelvinlake.llm._arrays import handing_back
 from kelvinlake.operators.components import components
 from kelvinlake.scratch import Scratch
 
@@ -193,7 +194,7 @@ def link(
     first = scratch.store(
         _ordered(rows, F.col("weight").desc(), "id")
         .select("key", "id", "sig")
-        .mapInArrow(_first_round(most), _FIRST),
+        .mapInArrow(handing_back(_first_round(most)), _FIRST),
         "first",
     )
     tried = first.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -209,7 +210,7 @@ def link(
         )
         more = (
             _ordered(left, "id")
-            .mapInArrow(_apart(most if codes is None else most_bytes, few, width), _SECOND)
+            .mapInArrow(handing_back(_apart(most if codes is None else most_bytes, few, width)), _SECOND)
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .distinct()
             .join(tried, ["a", "b"], "left_anti")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelvinlake.llm._arrays import mix64, row_of, sequence_keys, shingles, slices, word_hashes
+from kelvinlake.llm._arrays import handing_back, mix64, row_of, sequence_keys, shingles, slices, word_hashes
 from kelvinlake.llm._links import link
 from kelvinlake.llm._fetch import texts_of
 from kelvinlake.scratch import Scratch
@@ -170,7 +170,7 @@ def near_duplicates(
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     signed = scratch.store(
         texts.mapInArrow(
-            _sign(size, bands, rows), "doc_id long, row long, key long, words long, bands array<long>, code binary"
+            handing_back(_sign(size, bands, rows)), "doc_id long, row long, key long, words long, bands array<long>, code binary"
         ),
         "signed",
     )
@@ -185,7 +185,7 @@ def near_duplicates(
     places = classes.select("key", "least.doc_id", "least.row")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return texts_of(pairs, places, texts, scratch).mapInArrow(_verified(size, threshold), "a long, b long")
+        return texts_of(pairs, places, texts, scratch).mapInArrow(handing_back(_verified(size, threshold)), "a long, b long")
 
     codes = classes.select(F.col("key").alias("id"), F.col("code").alias("sig"))
     apart = int(bands * rows * (1 - LEAST_AGREEMENT * threshold / 0.8))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelvinlake.llm._arrays import slices
+from kelvinlake.llm._arrays import handing_back, slices
 from kelvinlake.llm.wordbpe import TEXT_BYTES, encoder
 
 WINDOW, UNIT, DEPTH, SHARD_TOKENS = 2048, 64, 4, 4_000_000
@@ -194,7 +194,6 @@ def _pack(path: str, window: int, unit: int, depth: int, shard: int):
                     yield flush()
         if held:
             yield flush()
-        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return run
 
@@ -220,4 +219,6 @@ def pack_documents(
     """
     if window % unit:
         raise ValueError("unit must divide window")
-    return docs.select("doc_id", F.col("text")).mapInArrow(_pack(tokenizer, window, unit, depth, shard_tokens), _SCHEMA)
+    return docs.select("doc_id", F.col("text")).mapInArrow(
+        handing_back(_pack(tokenizer, window, unit, depth, shard_tokens)), _SCHEMA
+    )

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kelvinlake.llm._arrays import row_of, slices, word_hashes
+from kelvinlake.llm._arrays import handing_back, row_of, slices, word_hashes
 
 BITS = 20
 SAMPLE = 12_000
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Severi
         .where("text is not null")
         .join(chosen, "doc_id")
         .select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-        .mapInArrow(run, "doc_id long, toxic int, features array<int>")
+        .mapInArrow(handing_back(run), "doc_id long, toxic int, features array<int>")
         .dropDuplicates(["doc_id"])
         .toArrow()
         .sort_by("doc_id")
@@ -200,4 +200,4 @@ def score_severity(docs: DataFrame, model: SeverityModel) -> DataFrame:
                     [*names, "expected_severity", "p_toxic", "grade"],
                 )
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(handing_back(run), schema)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kelvinlake.llm._arrays import slices
+from kelvinlake.llm._arrays import handing_back, slices
 from kelvinlake.llm._fetch import BROADCAST_ROWS
 from kelvinlake.llm.wordbpe import TEXT_BYTES, encoder
 from kelvinlake.scratch import Scratch
@@ -60,7 +60,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, separator: i
         else:
             store.delete_file(own)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, file string, ordinal long")
+    return docs.select("doc_id", "text").mapInArrow(handing_back(run), "doc_id long, file string, ordinal long")
 
 
 def list_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
