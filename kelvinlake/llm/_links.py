@@ -40,8 +40,11 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int16)
 
 
-def _near(x: np.ndarray, y: np.ndarray, most: int | None) -> np.ndarray:
-    """Which of x and y (broadcast) are within ``most`` bits; all if None."""
+def _near(x: np.ndarray, y: np.ndarray, most: int | Callable | None) -> np.ndarray:
+    """Which of x and y (broadcast) are within ``most`` bits; all if None; those
+    for which ``most(x, y)`` holds if it is a function."""
+    if callable(most):
+        return most(x, y)
     if most is None:
         return np.ones(np.broadcast_shapes(x.shape, y.shape), bool)
     return np.bitwise_count((x ^ y).view(np.uint64)) <= most  # of a signed value it would count the absolute's bits
@@ -75,7 +78,7 @@ def _batch(schema: str, cols: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in cols], names)
 
 
-def _few_pairs(sig: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray] | None:
+def _few_pairs(sig: np.ndarray, most: int | Callable | None) -> tuple[np.ndarray, np.ndarray] | None:
     """The near pairs of a bucket, or None if it has more than ``SPARSE`` per member."""
     m, count, found = len(sig), 0, []
     if most is None:  # all pairs are near
@@ -91,9 +94,11 @@ def _few_pairs(sig: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def _first_round(most: int | None):
+def _first_round(most: int | Callable | None):
     def run(batches):
         for key, ids, sig in _runs(batches, ["key", "id", "sig"]):
+            once = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
+            key, ids, sig = key[once], ids[once], sig[once]
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
             start, size = edge[:-1], np.diff(edge)
             a, b = [], []
@@ -127,7 +132,7 @@ def _first_round(most: int | None):
     return run
 
 
-def _apart(most: int, few: int | None, width: int | None):
+def _apart(most: int | Callable, few: int | None, width: int | None):
     """Near pairs of rows that belong to different components: all, or for each row
     outside the largest component the ``few`` nearest ones. Where sig is bytes, the
     first ``width`` are compared, and the rest is the low halves of all of its row's
@@ -154,7 +159,8 @@ def _apart(most: int, few: int | None, width: int | None):
                 for at in range(0, len(rest), step):
                     r = rest[at : at + step]
                     cost = _distance(s_[r][:, None], s_[None])
-                    no = (roots[r][:, None] == roots[None]) | (cost > most)
+                    far = ~most(s_[r][:, None], s_[None]) if callable(most) else cost > most
+                    no = (roots[r][:, None] == roots[None]) | far
                     for k in range(0 if keys is None else keys.shape[1]):
                         no |= keys[r, k][:, None] == keys[None, :, k]
                     if few is None:
@@ -179,14 +185,15 @@ def link(
     rows: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
-    most: int | None = None,
+    most: int | Callable | None = None,
     codes: DataFrame | None = None,
     most_bytes: int = 0,
     width: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(components as (node, root), verified links as (a, b)).
 
-    ``rows``: key, id, weight, sig (long; sig only where ``most`` bits may differ).
+    ``rows``: key, id, weight, sig (long; sig only where ``most`` bits may differ, or
+    ``most`` is a function of two arrays of it). A repeated row counts once.
     ``verify`` keeps the pairs (a, b) that are links. ``codes``: id, sig (binary of
     one width), by which members of dense buckets are near if ``most_bytes`` bytes
     differ at most.

@@ -161,6 +161,29 @@ def test_lines_brute_force(docs):
         assert r.text == "\n".join(x for i, x in enumerate(text[r.doc_id].split("\n")) if i not in set(r.dropped))
 
 
+def test_lines_find_all_similar(spark):
+    """Groups by edit similarity alone, at distances up to the limit and past it."""
+    rng = random.Random(12)
+    vocabulary = [f"v{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)]
+    rows = []
+    for n in [4, 5, 6, 9, 10, 14, 19, 20, 24, 25, 40, 60, 90] * 4:
+        line = rng.choices(vocabulary, k=n)
+        rows.append(line)
+        for edits in (1, max(1, n // 10), max(1, n // 5), n // 5 + 1):
+            copy = line[:]
+            for _ in range(edits):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randrange(2)] = rng.choices(vocabulary, k=rng.randrange(2))
+            rows.append(copy)
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if linededup.edit_similar(rows[i], rows[j], 0.8)]
+    first = {}
+    for i, g in enumerate(brute_groups(len(rows), linked)):
+        first.setdefault(g, i)
+    out = linededup.dedup_lines(spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")).collect()
+    short = {i for i, r in enumerate(rows) if len(r) < linededup.LEAST_WORDS}
+    assert {r.doc_id for r in out if not r.dropped} - short == set(first.values()) - short
+
+
 def test_lines_odd(odd, empty):
     out = linededup.dedup_lines(odd).collect()
     assert len(out) == len(ODD)
