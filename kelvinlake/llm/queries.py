@@ -18,7 +18,9 @@ URL_RULES = [
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 ]
-TOKENIZER, SEPARATOR = "word_bpe_49k.json", 49407
+TOKENIZER = "word_bpe_49k.json"
+#: Beyond the vocabulary, as <|endoftext|> in a text gives the tokenizer's own id 49407.
+SEPARATOR = 65535
 
 
 def tokenizer_path() -> str:

@@ -30,7 +30,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, separator: i
     doc_id, file (name in ``folder``), ordinal (document in the file).
 
     A file is written under an attempt's own name and moved into place, so a task
-    that runs again leaves one whole file. Files are written when the manifest is
+    that runs again leaves one whole file. A separator that occurs in a text is an
+    error: it would split the document. Files are written when the manifest is
     computed; store the manifest to write them once.
     """
 
@@ -45,6 +46,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, separator: i
             for batch in batches:
                 for part in slices(batch, "text", TEXT_BYTES):
                     ids, off = encoder(tokenizer).encode(part.column("text"))
+                    if (ids == separator).any():
+                        raise ValueError(f"a text holds the token {separator}, which is the separator")
                     out.write(np.insert(ids, off[1:], separator).astype(dtype).tobytes())
                     yield pa.RecordBatch.from_arrays(
                         [

@@ -462,6 +462,16 @@ def test_count_tokens_round_trip(spark, odd, empty, tokenizer, tmp_path):
         tokencount.count_tokens(spark, f"file://{tmp_path}/odd", 9)
 
 
+def test_count_tokens_of_a_text_with_the_end_mark(spark, odd, tokenizer, tmp_path):
+    out = tokencount.write_token_files(odd, f"file://{tmp_path}/t", queries.tokenizer_path(), queries.SEPARATOR).collect()
+    got = {(r.file, r.ordinal): r.tokens for r in tokencount.count_tokens(spark, f"file://{tmp_path}/t", queries.SEPARATOR).collect()}
+    want = collections.Counter((i, len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t in ODD)
+    assert collections.Counter((r.doc_id, got[r.file, r.ordinal]) for r in out) == want and len(got) == len(ODD)
+    assert queries.SEPARATOR >= tokenizer.get_vocab_size()
+    with pytest.raises(Exception, match="separator"):
+        tokencount.write_token_files(odd, f"file://{tmp_path}/s", queries.tokenizer_path(), 49407).collect()
+
+
 # --- 8 mixing
 
 
