@@ -54,12 +54,13 @@ IMPLIED = {
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?:!|\?)[^>]*(?:>|\Z)|</\s*([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    # a quote opens a value right after = only; elsewhere it is a character like others
+    r"|<([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?+)*+)(?:>|\Z)",
     re.S,
 )
 _START = re.compile(r"(?:^|\s)start\s*=\s*[\"']?(-?\d{1,9})", re.I)
 _SPAN = re.compile(r"(?:^|\s)colspan\s*=\s*[\"']?(\d{1,3})", re.I)
-_ATTRIBUTE_TEXT = re.compile(r"\"[^\"]*\"|'[^']*'")
+_ATTRIBUTE_TEXT = re.compile(r"=\s*(?:\"[^\"]*\"?|'[^']*'?|[^\s>]*)")
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 #: Padding of a table column, at most; a longer cell is whole, but pads no other.
 WIDEST = 40
@@ -318,7 +319,7 @@ def render(page: str | None) -> str:
 
 def _is_hidden(attributes: str) -> bool:
     # the bare attribute must not be looked for within quoted values
-    bare = _ATTRIBUTE_TEXT.sub('""', attributes)
+    bare = _ATTRIBUTE_TEXT.sub('=""', attributes)
     if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", bare, re.I):
         return True
     style = re.search(r"(?:^|\s)style\s*=\s*(\"[^\"]*\"|'[^']*'|\S+)", attributes, re.I)

@@ -596,6 +596,18 @@ def test_render(page, text):
     assert htmltext.render(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<a href="x"">text</a> more <b class="y">z</b> tail', "text more z tail"), ("<p title=it's>one two</p><p>three</p>", "one two\n\nthree"),
+        ("<p ' x>a</p><p>b'c</p>", "a\n\nb'c"), ('<a title = "x>y">t</a>', "t"), ("<a title='x>\"y'>t</a>", "t"), ("<a title=>t</a> u", "t u"),
+        ("<a x==\"y>t</a> \"u", 't "u'), ("<div class=a\"b hidden>h</div>s\"", 's"'), ('<a x="never closed', ""),
+    ],
+)
+def test_stray_quotes(page, text):
+    assert htmltext.render(page) == text
+
+
 def test_html_deep_and_table(spark):
     assert htmltext.render("<div>" * 50_000 + "x" + "</div>" * 50_000) == "x"
     df = spark.createDataFrame([(1, "<p>a", "k"), (1, "<p>a", "k"), (None, None, "k")], "page_id long, html string, text string")
