@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 NEVER = frozenset(
-    "head script style title template noscript noembed noframes iframe object audio video canvas svg math datalist select "
+    "head script style title template noscript noembed noframes iframe object audio video canvas datalist "
     "meta link base param source track area".split()
 )
+#: Never shown within svg or math; self-closing tags close there.
+UNSHOWN = frozenset("desc defs metadata symbol annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table "
@@ -133,7 +135,7 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             elif name[0] == "h" and len(name) == 2 and stack and stack[-1] in ("h1", "h2", "h3", "h4", "h5", "h6") and name[1].isdigit():
                 yield from close(len(stack) - 1)
             yield opened(name, attributes)
-            if name in VOID:
+            if name in VOID or (attributes.endswith("/") and (counts.get("svg") or counts.get("math"))):
                 yield from close(len(stack) - 1)
             elif name in RAW:
                 stop = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
@@ -146,6 +148,35 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
     yield from close(0)
 
 
+def _chosen(found: Iterator[tuple[str, str, str]]) -> Iterator[tuple[str, str, str]]:
+    """Events with each closed list of options cut to the one that it shows: the last
+    selected, else the first that isn't disabled. Open lists keep all."""
+    for event in found:
+        if event[:2] != ("open", "select"):
+            yield event
+            continue
+        bare = _ATTRIBUTE_TEXT.sub('=""', event[2])
+        size = re.search(r"(?:^|\s)size\s*=\s*[\"']?(\d+)", event[2], re.I)
+        yield event
+        depth, options = 1, []
+        every = re.search(r"(?:^|\s)multiple(?:\s|=|/|$)", bare, re.I) or (size and int(size[1]) > 1)
+        for inner in found:
+            depth += (inner[0] == "open") - (inner[0] == "close")
+            if not depth or every:
+                if not depth:
+                    break
+                yield inner
+            elif inner[:2] == ("open", "option"):
+                options.append((_ATTRIBUTE_TEXT.sub('=""', inner[2]), []))
+            elif options and inner[:2] != ("close", "option"):
+                options[-1][1].append(inner)
+        has = lambda option, name: re.search(rf"(?:^|\s){name}(?:\s|=|/|$)", option[0], re.I)
+        shown = [o for o in options if has(o, "selected")][-1:] or [o for o in options if not has(o, "disabled")][:1] or options[:1]
+        for option in shown:
+            yield from (e for e in option[1] if e[0] == "text")
+        yield "close", "select", ""
+
+
 class _Page:
     """Lines of one flow of blocks: a page, or one table cell."""
 
@@ -232,7 +263,8 @@ def render(page: str | None) -> str:
     lists: list[int | None] = []
     hidden = pre = depth = 0
     hidden_at: list[int] = []
-    for kind, x, attributes in events(page):
+    drawn = 0  # open svg and math elements
+    for kind, x, attributes in _chosen(events(page)):
         if kind == "text":
             if hidden or (not flow.now and not pre and x.isspace()):
                 flow.space = flow.space or bool(flow.now)
@@ -241,7 +273,8 @@ def render(page: str | None) -> str:
             flow.raw(x.replace("\r\n", "\n")) if pre else flow.text(x.replace("\xa0", " ") if "\xa0" in x else x)
         elif kind == "open":
             depth += 1
-            if hidden or x in NEVER or (attributes and ("hidden" in attributes.lower() or "none" in attributes.lower()) and _is_hidden(attributes)):
+            drawn += x in ("svg", "math")
+            if hidden or x in NEVER or (drawn and x in UNSHOWN) or (attributes and ("hidden" in attributes.lower() or "none" in attributes.lower()) and _is_hidden(attributes)):
                 if not hidden:
                     hidden_at.append(depth)
                     hidden = 1
@@ -277,6 +310,7 @@ def render(page: str | None) -> str:
                 flow.kept = (lists, pre)
                 lists, pre = [], 0
         else:
+            drawn -= x in ("svg", "math")
             if hidden:
                 if hidden_at[-1] == depth:
                     hidden_at.pop()

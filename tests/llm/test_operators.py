@@ -608,6 +608,19 @@ def test_stray_quotes(page, text):
     assert htmltext.render(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> b", "a x=2 b"),
+        ("<svg><title>t</title><desc>d</desc><style>s</style><defs/><defs><text>no</text></defs><path d='x'/><text>label</text></svg>after", "labelafter"),
+        ("pick <select><option>one<option selected>two<option>three</select> now", "pick two now"), ("<select><option disabled>a<option>b</select>", "b"),
+        ("<select multiple><option>a<option>b</select>c", "a\nb\nc"), ("<select size=3><option>a</option></select>", "a"), ("<select></select>x", "x"),
+    ],
+)
+def test_shown_elements(page, text):
+    assert htmltext.render(page) == text
+
+
 def test_html_deep_and_table(spark):
     assert htmltext.render("<div>" * 50_000 + "x" + "</div>" * 50_000) == "x"
     df = spark.createDataFrame([(1, "<p>a", "k"), (1, "<p>a", "k"), (None, None, "k")], "page_id long, html string, text string")
