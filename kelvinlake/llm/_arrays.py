@@ -92,8 +92,10 @@ def text_buffer(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(texts: pa.Array, digits_alike: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, word offset of each row, rows + 1).
 
-    Words are maximal runs of ASCII letters or digits and of all characters
-    beyond ASCII, in lower case. A null text has no words.
+    Words are maximal runs of ASCII letters or digits and of characters beyond ASCII,
+    in lower case; but a Han or kana character is a word of its own, as are the signs of
+    their block (U+3000 to U+9FFF), since those scripts don't part words. A null text
+    has no words.
     """
     low = pc.utf8_lower(as_large(texts))
     data, off = text_buffer(low)
@@ -111,6 +113,11 @@ def word_hashes(texts: pa.Array, digits_alike: bool = False) -> tuple[np.ndarray
         part = fold[data[at:end]]
         is_word = _WORD[part]
         new = first[at:end]
+        alone = np.flatnonzero((part >= 0xE3) & (part <= 0xE9))  # first of the three bytes of U+3000 to U+9FFF
+        if len(alone):
+            new = new.copy()
+            new[alone] = True
+            new[(alone + 3)[alone + 3 < len(new)]] = True
         begins = is_word.copy()
         begins[1:] &= ~is_word[:-1] | new[1:]
         ends = is_word.copy()

@@ -1,37 +1,21 @@
-"""Texts for candidate pairs, read for the documents that have candidates only."""
+"""Rows by (doc_id, row), read for the documents that are asked for only."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelvinlake.scratch import Scratch
-
-#: Rows of two longs that may be broadcast (3 MB or so); more are shuffled.
+#: Entries of a few longs that may be broadcast (3 MB or so); more are shuffled.
 BROADCAST_ROWS = 100_000
 
 
-def only_rows(big: DataFrame, small: DataFrame, on: list[str], rows: int) -> DataFrame:
-    """``big`` joined to ``small`` (null-safe): by broadcast if ``rows``, its counted
-    size, is bounded; else by a shuffle."""
-    small = F.broadcast(small) if rows <= BROADCAST_ROWS else small
+def only_rows(big: DataFrame, small: DataFrame, on: list[str], entries: int) -> DataFrame:
+    """``big`` joined to ``small`` (null-safe): by broadcast if ``entries``, the counted
+    number of its rows or of its arrays' elements, is bounded; else by a shuffle."""
+    small = F.broadcast(small) if entries <= BROADCAST_ROWS else small
     renamed = small.select([F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in small.columns])
     cond = None
     for c in on:
         test = F.col(c).eqNullSafe(F.col(f"_{c}"))
         cond = test if cond is None else cond & test
     return big.join(renamed, cond).drop(*[f"_{c}" for c in on])
-
-
-def texts_of(pairs: DataFrame, places: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b, a_text, b_text) of ``pairs(a, b)``. ``places``: key, doc_id, row of the
-    row that stands for a key; ``texts``: doc_id, row, text."""
-    pairs = scratch.store(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = scratch.store(places.join(ids, "key", "left_semi"), "wanted")
-    found = only_rows(texts, wanted, ["doc_id", "row"], wanted.count()).select("key", "text")
-    # rows that repeat both doc_id and text stand for one key: one of them is enough
-    found = scratch.store(found.dropDuplicates(["key"]), "texts")
-    return pairs.join(found.select(F.col("key").alias("a"), F.col("text").alias("a_text")), "a").join(
-        found.select(F.col("key").alias("b"), F.col("text").alias("b_text")), "b"
-    )

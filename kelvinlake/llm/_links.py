@@ -1,15 +1,21 @@
-"""From bucketed rows to verified links, without all pairs of a bucket.
+"""From bucketed rows to verified links and their components, without all pairs of a
+bucket and without a row per pair of a dense one.
 
-A bucket is a set of rows with one key. In a first round a bucket with few near
-pairs gives them all, a dense one links its members to its leader only. In a second round dense
-buckets give the pairs that components of the verified links still keep apart,
-so each link that could join two components is looked at, and a group of G
-copies costs G links rather than G * G / 2.
+A bucket is a set of rows with one key. One with few near pairs gives them all; a
+dense one gives its members' pairs with its first member, and its members. Pairs
+are judged on the two rows' bodies, and components of the links are found. A dense
+bucket in which more than one component is left is then dealt out in blocks: its
+members outside its largest component, in slices, against all members, in slices.
+A task judges the pairs of a block that lie in different components and gives a link
+only if it joins two: at most as many links as there are components in the block.
+So every pair that could join two components is judged, by the same rule whatever
+the size of its bucket, and no pair of a dense bucket becomes a row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -20,72 +26,75 @@ from kelvinlake.llm._arrays import handing_back
 from kelvinlake.operators.components import components
 from kelvinlake.scratch import Scratch
 
-_FIRST = "key long, a long, b long, sig long"
-_SECOND = "a long, b long"
+FIRST = "key long, a long, b long"
+PAIRS = "a long, b long"
 #: Members up to which buckets of one size are compared together.
 SMALL = 8
 #: Near pairs per member up to which a bucket gives them all at once.
 SPARSE = 4
 #: Compared at once in a dense bucket.
 BLOCK = 2048
+#: Members on one side of a block.
+SLICE = 512
 
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
-def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Differing bits of two longs, or differing bytes of two rows of bytes."""
-    if x.dtype == np.uint8:
-        out = np.zeros(np.broadcast_shapes(x.shape[:-1], y.shape[:-1]), np.int16)
-        for k in range(x.shape[-1]):
-            out += x[..., k] != y[..., k]
-        return out
-    return np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int16)
 
+class Judge(Protocol):
+    """Decides links by the bodies (bytes) of rows."""
 
-def _near(x: np.ndarray, y: np.ndarray, most: int | Callable | None) -> np.ndarray:
-    """Which of x and y (broadcast) are within ``most`` bits; all if None; those
-    for which ``most(x, y)`` holds if it is a function."""
-    if callable(most):
-        return most(x, y)
-    if most is None:
-        return np.ones(np.broadcast_shapes(x.shape, y.shape), bool)
-    return np.bitwise_count((x ^ y).view(np.uint64)) <= most  # of a signed value it would count the absolute's bits
+    def pairs(self, x: pa.Array, y: pa.Array) -> np.ndarray:
+        """Whether x[i] and y[i] are linked, for each i."""
 
+    def prepare(self, bodies: list[bytes]) -> object:
+        """What ``row`` needs of the bodies of a block."""
 
-def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """Columns of whole runs of equal keys (the first name), in input order.
-    One run is held at a time, with what else came in its batch."""
-    held: list[list[np.ndarray]] = []
+    def may(self, block: object, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """(i, j): false where a cheap bound rules the link out."""
+
+    def row(self, block: object, i: int, j: np.ndarray, key: int) -> np.ndarray:
+        """Whether body i is linked to each of the bodies j. Where ``j`` meets i under a
+        key that comes before ``key`` in both, it may say no: that bucket decides."""
+
+
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list]:
+    """Columns of whole runs of equal values in the first of the columns, in input order;
+    binary ones as lists. One run is held at a time, with what else came in its batch."""
+
+    def joined(held: list) -> list:
+        return [np.concatenate(c) if isinstance(c[0], np.ndarray) else [x for part in c for x in part] for c in zip(*held, strict=True)]
+
+    held: list = []
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = [
-            np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            if pa.types.is_binary(batch.column(n).type)
-            else batch.column(n).fill_null(0).to_numpy()
+            batch.column(n).to_pylist() if pa.types.is_binary(batch.column(n).type) else batch.column(n).fill_null(0).to_numpy(zero_copy_only=False)
             for n in names
         ]
         last = int(np.searchsorted(-(cols[0] != cols[0][-1]).astype(np.int8), 0))
         if last or (held and held[-1][0][-1] != cols[0][0]):
             held.append([c[:last] for c in cols])
-            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            yield joined(held)
             held = []
         held.append([c[last:] for c in cols])
     if held:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+        yield joined(held)
 
 
-def _batch(schema: str, cols: list) -> pa.RecordBatch:
+def batch_of(schema: str, cols: list) -> pa.RecordBatch:
     names = [x.split()[0] for x in schema.split(",")]
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in cols], names)
 
 
-def _few_pairs(sig: np.ndarray, most: int | Callable | None) -> tuple[np.ndarray, np.ndarray] | None:
+def _few_pairs(sig: np.ndarray, near: Near | None) -> tuple[np.ndarray, np.ndarray] | None:
     """The near pairs of a bucket, or None if it has more than ``SPARSE`` per member."""
     m, count, found = len(sig), 0, []
-    if most is None:  # all pairs are near
+    if near is None:  # all pairs are near
         return None if (m - 1) / 2 > SPARSE else np.triu_indices(m, 1)
     for at in range(0, m, BLOCK):
         for to in range(at, m, BLOCK):
-            i, j = np.nonzero(_near(sig[at : at + BLOCK, None], sig[None, to : to + BLOCK], most))
+            i, j = np.nonzero(near(sig[at : at + BLOCK, None], sig[None, to : to + BLOCK]))
             later = i + at < j + to
             found.append((i[later] + at, j[later] + to))
             count += len(found[-1][0])
@@ -94,138 +103,155 @@ def _few_pairs(sig: np.ndarray, most: int | Callable | None) -> tuple[np.ndarray
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def _first_round(most: int | Callable | None):
+def buckets(key: np.ndarray, ids: np.ndarray, sig: np.ndarray, near: Near | None) -> Iterator[pa.RecordBatch]:
+    """Rows of ``FIRST`` of whole buckets, which are runs of equal keys in which equal ids
+    are neighbours: pairs (a, b), and members a of dense buckets, with b null."""
+    once = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
+    key, ids, sig = key[once], ids[once], sig[once]
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    start, size = edge[:-1], np.diff(edge)
+    a, b, rows = [], [], []
+    for m in range(2, SMALL + 1):  # all buckets of one size together
+        at = start[size == m]
+        for i in range(m):
+            for j in range(i + 1, m):
+                ok = slice(None) if near is None else near(sig[at + i], sig[at + j])
+                a.append(ids[(at + i)[ok]])
+                b.append(ids[(at + j)[ok]])
+    for lo, m in zip(start[size > SMALL], size[size > SMALL], strict=True):
+        pairs = _few_pairs(sig[lo : lo + m], near)
+        if pairs is not None:
+            a.append(ids[lo + pairs[0]])
+            b.append(ids[lo + pairs[1]])
+            continue
+        r = np.arange(lo, lo + m)
+        rows.append(r)
+        ok = r[1:] if near is None else r[1:][near(sig[r[0]], sig[r[1:]])]
+        a.append(np.full(len(ok), ids[r[0]]))
+        b.append(ids[ok])
+    if a and sum(map(len, a)):
+        x, y = np.concatenate(a), np.concatenate(b)
+        pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+        yield batch_of(FIRST, [pa.nulls(pair.shape[1], pa.int64()), pair[0], pair[1]])
+    if rows:
+        r = np.concatenate(rows)
+        yield batch_of(FIRST, [key[r], ids[r], pa.nulls(len(r), pa.int64())])
+
+
+def meet(rows: DataFrame, near: Near | None = None) -> DataFrame:
+    """``FIRST`` of rows key, id, weight, sig. The heaviest member leads a dense bucket."""
+
     def run(batches):
         for key, ids, sig in _runs(batches, ["key", "id", "sig"]):
-            once = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
-            key, ids, sig = key[once], ids[once], sig[once]
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            start, size = edge[:-1], np.diff(edge)
-            a, b = [], []
-            for m in range(2, SMALL + 1):  # all runs of one size together
-                at = start[size == m]
-                for i in range(m):
-                    for j in range(i + 1, m):
-                        ok = _near(sig[at + i], sig[at + j], most)
-                        a.append(ids[(at + i)[ok]])
-                        b.append(ids[(at + j)[ok]])
-            rows = []
-            for lo, m in zip(start[size > SMALL], size[size > SMALL], strict=True):
-                pairs = _few_pairs(sig[lo : lo + m], most)
-                if pairs is not None:
-                    a.append(ids[lo + pairs[0]])
-                    b.append(ids[lo + pairs[1]])
-                    continue
-                r = np.arange(lo, lo + m)
-                rows.append(r)
-                ok = r[1:][_near(sig[r[0]], sig[r[1:]], most)]
-                a.append(np.full(len(ok), ids[r[0]]))
-                b.append(ids[ok])
-            if a and sum(map(len, a)):
-                x, y = np.concatenate(a), np.concatenate(b)
-                none = pa.nulls(len(x), pa.int64())
-                yield _batch(_FIRST, [none, x, y, none])
-            if rows:
-                r = np.concatenate(rows)
-                yield _batch(_FIRST, [key[r], ids[r], pa.nulls(len(r), pa.int64()), sig[r]])
+            yield from buckets(key, ids, sig, near)
+
+    ordered = rows.repartition("key").sortWithinPartitions("key", F.col("weight").desc(), "id").select("key", "id", "sig")
+    return ordered.mapInArrow(handing_back(run), FIRST)
+
+
+def _judged(judge: Judge):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.select(["a", "b"]).filter(pa.array(judge.pairs(batch.column("x"), batch.column("y")), pa.bool_()))
 
     return run
 
 
-def _apart(most: int | Callable, few: int | None, width: int | None):
-    """Near pairs of rows that belong to different components: all, or for each row
-    outside the largest component the ``few`` nearest ones. Where sig is bytes, the
-    first ``width`` are compared, and the rest is the low halves of all of its row's
-    keys: a pair that meets under an earlier key is left to that bucket."""
+_BLOCKS = ["block", "key", "id", "root", "side", "body"]
+
+
+def _joining(judge: Judge):
+    """Links that join two components of a block."""
 
     def run(batches):
-        for key, ids, root, sig in _runs(batches, ["key", "id", "root", "sig"]):
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                part, roots = slice(lo, hi), root[lo:hi]
-                if (roots == roots[0]).all():
+        for block, key, ids, root, side, body in _runs(batches, _BLOCKS):
+            _, root = np.unique(root, return_inverse=True)
+            rest, every = np.flatnonzero(side == 0), np.flatnonzero(side != 0)
+            # two members outside the largest component meet on either side: the lesser id's row judges
+            outside = side[every] == 2
+            state = judge.prepare(body)
+            a, b = [], []
+            step = max(1, BLOCK * BLOCK // 64 // max(1, len(every)))
+            for i, may in ((i, m) for lo in range(0, len(rest), step) for i, m in zip(rest[lo : lo + step], judge.may(state, rest[lo : lo + step], every), strict=True)):
+                may = may & (root[every] != root[i]) & (~outside | (ids[every] > ids[i]))
+                if not may.any():
                     continue
-                # the largest component's members are compared with the others', not with each other
-                values, counts = np.unique(roots, return_counts=True)
-                main = roots == values[counts.argmax()]
-                rest = np.flatnonzero(~main)
-                i_, s_ = ids[part], sig[part]
-                keys = None
-                if width is not None:
-                    keys = np.ascontiguousarray(s_[:, width:]).view(np.uint32)
-                    keys = keys[:, : int(np.flatnonzero(keys[0] == np.uint32(int(key[lo]) & 0xFFFFFFFF))[0])]
-                    s_ = s_[:, :width]
-                step = max(1, BLOCK * BLOCK // 8 // (hi - lo))
-                for at in range(0, len(rest), step):
-                    r = rest[at : at + step]
-                    cost = _distance(s_[r][:, None], s_[None])
-                    far = ~most(s_[r][:, None], s_[None]) if callable(most) else cost > most
-                    no = (roots[r][:, None] == roots[None]) | far
-                    for k in range(0 if keys is None else keys.shape[1]):
-                        no |= keys[r, k][:, None] == keys[None, :, k]
-                    if few is None:
-                        x, y = np.nonzero(~no & (main[None] | (r[:, None] < np.arange(hi - lo)[None])))
-                    else:
-                        k = min(few, hi - lo)
-                        best = np.argpartition(np.where(no, 10_000, cost), k - 1, axis=1)[:, :k]
-                        x = np.repeat(np.arange(len(r)), k)
-                        y = best.ravel()
-                        x, y = x[~no[x, y]], y[~no[x, y]]
-                    if len(x):
-                        yield _batch(_SECOND, [i_[r[x]], i_[y]])
+                j = every[may]
+                few = 1
+                while len(j):  # a few members of each other component first: one link to it is enough
+                    j = j[np.argsort(root[j], kind="stable")]
+                    now = np.arange(len(j)) - np.searchsorted(root[j], root[j]) < few
+                    for to in j[now][judge.row(state, i, j[now], int(key[i]))]:
+                        if root[to] != root[i]:
+                            a.append(ids[i])
+                            b.append(ids[to])
+                            root[root == root[to]] = root[i]
+                    j = j[~now]
+                    j = j[root[j] != root[i]]
+                    few *= 4
+            if a:
+                yield batch_of(PAIRS, [np.minimum(a, b), np.maximum(a, b)])
 
     return run
 
 
-def _ordered(df: DataFrame, *order) -> DataFrame:
-    return df.repartition("key").sortWithinPartitions("key", *order)
+def _blocks(dense: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """block, key, id, root, side of the dense buckets with more than one component. Side 0:
+    judges its pairs, as it is outside the largest component; 1 and 2: all members, those
+    in it and those outside."""
+    members = scratch.store(
+        dense.join(roots, dense.id == roots.node, "left").select("key", "id", F.coalesce("root", "id").alias("root")), "members"
+    )
+    parts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("key").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main")
+    )
+    mixed = mixed.where("parts > 1").select(
+        "key",
+        "main",
+        F.ceil(F.col("all") / SLICE).cast("long").alias("slices"),
+        F.ceil((F.col("all") - F.col("most")) / SLICE).cast("long").alias("rest"),
+    )
+    rows = members.join(scratch.store(mixed, "mixed"), "key")
+    i, j = F.pmod(F.xxhash64("id"), F.col("rest")), F.pmod(F.xxhash64("id"), F.col("slices"))
+    within = F.when(F.col("root") == F.col("main"), 1).otherwise(2)
+    against = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda k: F.struct(k.alias("i"), j.alias("j"), within.alias("side")))
+    outside = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda k: F.struct(i.alias("i"), k.alias("j"), F.lit(0).alias("side")))
+    places = F.when(F.col("root") == F.col("main"), against).otherwise(F.concat(against, outside))
+    return rows.select("key", "id", "root", F.explode(places).alias("x")).select(
+        F.xxhash64("key", "x.i", "x.j").alias("block"), "key", "id", "root", F.col("x.side").cast("long").alias("side")
+    )
 
 
-def link(
-    rows: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
-    scratch: Scratch,
-    most: int | Callable | None = None,
-    codes: DataFrame | None = None,
-    most_bytes: int = 0,
-    width: int | None = None,
-) -> tuple[DataFrame, DataFrame]:
+def link(first: DataFrame, bodies: Callable[[DataFrame], DataFrame], judge: Judge, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(components as (node, root), verified links as (a, b)).
 
-    ``rows``: key, id, weight, sig (long; sig only where ``most`` bits may differ, or
-    ``most`` is a function of two arrays of it). A repeated row counts once.
-    ``verify`` keeps the pairs (a, b) that are links. ``codes``: id, sig (binary of
-    one width), by which members of dense buckets are near if ``most_bytes`` bytes
-    differ at most.
+    ``first``: rows of ``FIRST``. ``bodies`` gives (id, body) for a table of distinct ids.
+    The links are all of sparse buckets, and of dense ones enough for the components.
     """
-    first = scratch.store(
-        _ordered(rows, F.col("weight").desc(), "id")
-        .select("key", "id", "sig")
-        .mapInArrow(handing_back(_first_round(most)), _FIRST),
-        "first",
+    first = scratch.store(first, "first")
+    tried = scratch.store(
+        first.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried"
+    )
+    dense = first.where("b is null").select("key", F.col("a").alias("id"))
+    ids = tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))).unionByName(dense.select("id"))
+    body = scratch.store(bodies(ids.distinct()), "bodies")
+    links = scratch.store(
+        tried.join(body.select(F.col("id").alias("a"), F.col("body").alias("x")), "a")
+        .join(body.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
+        .mapInArrow(handing_back(_judged(judge)), PAIRS),
+        "links",
     )
-    tried = first.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = scratch.store(tried, "tried")
-    links = scratch.store(verify(tried), "links")
     roots = components(links, scratch)
-    dense = first.where("b is null").select("key", F.col("a").alias("id"), "sig")
-    if codes is not None:
-        dense = dense.drop("sig").join(codes, "id")
-    for few in (SPARSE, None) if first.where("b is null").limit(1).count() else ():
-        left = dense.join(roots, dense.id == roots.node, "left").select(
-            "key", "id", F.coalesce("root", "id").alias("root"), "sig"
-        )
-        more = (
-            _ordered(left, "id")
-            .mapInArrow(handing_back(_apart(most if codes is None else most_bytes, few, width)), _SECOND)
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct()
-            .join(tried, ["a", "b"], "left_anti")
+    if dense.limit(1).count():
+        blocks = _blocks(dense, roots, scratch).join(body, "id")
+        found = scratch.store(
+            blocks.repartition("block").sortWithinPartitions("block", "side", "id").select(*_BLOCKS).mapInArrow(handing_back(_joining(judge)), PAIRS),
+            "links",
         )
-        more = scratch.store(more, "more")
-        tried = tried.unionByName(more)
-        found = scratch.store(verify(more), "links")
         if found.limit(1).count():
             links = links.unionByName(found)
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found), scratch)
+    scratch.drop(first, tried, body)
     return roots, links

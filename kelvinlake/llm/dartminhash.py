@@ -20,21 +20,19 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelvinlake.llm._arrays import handing_back, mix64, row_of, sequence_keys, shingles, slices, word_hashes
-from kelvinlake.llm._links import link
-from kelvinlake.llm._fetch import texts_of
+from kelvinlake.llm._arrays import handing_back, mix64, row_of, sequence_keys, shingles, slices, sums, word_hashes
+from kelvinlake.llm._fetch import only_rows
+from kelvinlake.llm._links import link, meet
 from kelvinlake.scratch import Scratch
 
 SHINGLE = 5
 BANDS, ROWS = 20, 6
 _MASK = np.uint64((1 << 24) - 1)
 _LOG = 1 + np.log(np.maximum(np.arange(4096), 1))
-#: Members of dense buckets whose signatures agree in fewer coordinates than this
-#: share (2.7 standard errors below 0.8) aren't verified pair by pair.
-LEAST_AGREEMENT = 0.7
 
 
 def signatures(element: np.ndarray, weight: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
@@ -100,49 +98,101 @@ def weighted_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, n
     )
 
 
-def _sign(size: int, bands: int, rows: int):
-    k = bands * rows
+def band_keys(element: np.ndarray, weight: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(rows of texts, bands): keys under which texts meet."""
+    sig = signatures(element, weight, offsets, bands * rows).reshape(-1, bands, rows)
+    band = np.zeros(sig.shape[:2], np.uint64)
+    for r in range(rows):
+        band = mix64(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
+    return mix64(band + np.arange(bands, dtype=np.uint64)).view(np.int64)
+
 
+def _sign(size: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 2_000_000):
                 element, weight, off, key, words = weighted_sets(part.column("text"), size)
-                sig = signatures(element, weight, off, k).reshape(-1, bands, rows)
-                band = np.zeros(sig.shape[:2], np.uint64)
-                for r in range(rows):
-                    band = mix64(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
-                band = mix64(band + np.arange(bands, dtype=np.uint64))
-                lists = pa.ListArray.from_arrays(
-                    np.arange(len(band) + 1, dtype=np.int32) * bands, pa.array(band.view(np.int64).ravel())
-                )
-                low = (sig.reshape(-1, k) & np.uint64(255)).astype(np.uint8)
-                low = np.concatenate([low, (band & np.uint64(0xFFFFFFFF)).astype("<u4").view(np.uint8).reshape(len(low), -1)], 1)
-                code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(low.shape[1]), len(low), [None, pa.py_buffer(low.tobytes())])
+                band = band_keys(element, weight, off, bands, rows)
+                lists = pa.ListArray.from_arrays(np.arange(len(band) + 1, dtype=np.int32) * bands, pa.array(band.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("row"), pa.array(key), pa.array(words), lists, code.cast(pa.binary())],
-                    ["doc_id", "row", "key", "words", "bands", "code"],
+                    [part.column("doc_id"), part.column("row"), pa.array(key), pa.array(words), lists],
+                    ["doc_id", "row", "key", "words", "bands"],
                 )
 
     return run
 
 
-def _verified(size: int, least: float):
-    """Keeps pairs whose weighted Jaccard similarity reaches ``least``."""
+class SetJudge:
+    """Links bodies whose weighted Jaccard similarity reaches ``least``. A body: the
+    band keys, then (shingle, bits of its weight) pairs, all of 64 bits."""
+
+    def __init__(self, least: float, bands: int):
+        self.least, self.bands = least, bands
+
+    def _sets(self, bodies) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shingles, weights, number of each body)."""
+        flat = [np.frombuffer(x, np.uint64)[self.bands :] for x in bodies]
+        both = np.concatenate(flat).reshape(-1, 2)
+        return both[:, 0], np.ascontiguousarray(both[:, 1]).view(np.float64), np.repeat(np.arange(len(flat)), [len(x) // 2 for x in flat])
+
+    def _reached(self, shared: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return (shared >= self.least * (total - shared) - 1e-9) & (total > 0)
+
+    def pairs(self, x: pa.Array, y: pa.Array) -> np.ndarray:
+        out = []
+        size = np.cumsum(pc.add(pc.binary_length(x), pc.binary_length(y)).to_numpy().astype(np.int64))
+        at = 0
+        while at < len(x):
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + 16_000_000, side="right")))
+            a, wa, ra = self._sets([v.as_buffer() for v in x[at:to]])
+            b, wb, rb = self._sets([v.as_buffer() for v in y[at:to]])
+            row, both, weight = np.concatenate([ra, rb]), np.concatenate([a, b]), np.concatenate([wa, wb])
+            order = np.lexsort((both, row))
+            both, row, weight = both[order], row[order], weight[order]
+            same = np.flatnonzero((both[1:] == both[:-1]) & (row[1:] == row[:-1]))
+            shared = np.bincount(row[same], np.minimum(weight[same], weight[same + 1]), to - at)
+            out.append(self._reached(shared, np.bincount(row, weight, to - at)))
+            at = to
+        return np.concatenate(out) if out else np.zeros(0, bool)
 
+    def prepare(self, bodies: list[bytes]):
+        element, weight, owner = self._sets(bodies)
+        names, place = np.unique(element, return_inverse=True)
+        off = np.searchsorted(owner, np.arange(len(bodies) + 1))
+        keys = np.stack([np.frombuffer(x, np.int64, self.bands) for x in bodies])
+        return place, weight, off, np.zeros(len(names)), np.bincount(owner, weight, len(bodies)), keys
+
+    def may(self, block, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        total = block[4]  # the lesser set's weight bounds what is shared
+        x, y = total[i][:, None], total[j][None]
+        return np.minimum(x, y) >= self.least * np.maximum(x, y) - 1e-9
+
+    def row(self, block, i: int, j: np.ndarray, key: int) -> np.ndarray:
+        place, weight, off, held, total, keys = block
+        before = int(np.flatnonzero(keys[i] == key)[0])
+        out = ~(keys[j, :before] == keys[i, :before]).any(1)
+        j = j[out]
+        if len(j):
+            own = slice(off[i], off[i + 1])
+            held[place[own]] = weight[own]
+            n = off[j + 1] - off[j]
+            at = np.concatenate([[0], np.cumsum(n)])
+            index = np.arange(at[-1]) + np.repeat(off[j] - at[:-1], n)
+            shared = sums(np.minimum(held[place[index]], weight[index]), at)
+            held[place[own]] = 0
+            out[out] = self._reached(shared, total[j] + total[i])
+        return out
+
+
+def _bodies(size: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "a_text", 1_000_000):
-                x, wx, ox, _, _ = weighted_sets(part.column("a_text"), size)
-                y, wy, oy, _, _ = weighted_sets(part.column("b_text"), size)
-                row = np.concatenate([row_of(ox), row_of(oy)])
-                both, weight = np.concatenate([x, y]), np.concatenate([wx, wy])
-                order = np.lexsort((both, row))
-                both, row, weight = both[order], row[order], weight[order]
-                same = np.flatnonzero((both[1:] == both[:-1]) & (row[1:] == row[:-1]))
-                shared = np.bincount(row[same], np.minimum(weight[same], weight[same + 1]), part.num_rows)
-                total = np.bincount(row, weight, part.num_rows)
-                ok = shared >= least * (total - shared) - 1e-9
-                yield part.select(["a", "b"]).filter(pa.array(ok & (total > 0)))
+            for part in slices(batch, "text", 2_000_000):
+                element, weight, off, _, _ = weighted_sets(part.column("text"), size)
+                keys = band_keys(element, weight, off, bands, rows)
+                sets = np.stack([element, weight.astype(np.float64).view(np.uint64)], 1)
+                body = [k.tobytes() + sets[a:b].tobytes() for k, a, b in zip(keys, off[:-1], off[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(body, pa.binary())], ["id", "body"])
 
     return run
 
@@ -160,50 +210,48 @@ def near_duplicates(
 
     ``row`` names the input row (a hash of doc_id and text); ``class_id`` is the
     least doc_id of the connected group, ``class_size`` counts its rows. ``kept``
-    marks the rows of one document: least doc_id, then least ``row``. Rows that
-    repeat both doc_id and text are one document, so they are kept or dropped
-    alike. A null text counts as empty; texts without any word are one exact
+    marks one row of the group: least doc_id, then least ``row``, then any one of rows
+    that repeat both. A null text counts as empty; texts without any word are one exact
     class, as their word sequences are equal. A null doc_id sorts first.
     Other columns of ``docs`` are neither read nor returned. Empty in, empty out.
     """
     scratch = scratch or Scratch(docs.sparkSession, "dartminhash")
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    signed = scratch.store(
-        texts.mapInArrow(
-            handing_back(_sign(size, bands, rows)), "doc_id long, row long, key long, words long, bands array<long>, code binary"
-        ),
-        "signed",
-    )
-    one = F.struct(F.col("doc_id"), F.col("row"))
+    signed = texts.mapInArrow(handing_back(_sign(size, bands, rows)), "doc_id long, row long, key long, words long, bands array<long>")
+    signed = scratch.store(signed.withColumn("at", F.monotonically_increasing_id()), "signed")
     classes = signed.groupBy("key").agg(
-        F.min(one).alias("least"), F.count(F.lit(1)).alias("n"), F.min_by(F.struct("bands", "code"), one).alias("x"), F.max("words").alias("words")
+        F.min(F.struct("doc_id", "row", "at")).alias("least"),
+        F.count(F.lit(1)).alias("n"),
+        F.any_value("bands").alias("bands"),  # equal word sequences have equal ones
+        F.max("words").alias("words"),
     )
-    classes = scratch.store(classes.select("key", "least", "n", "words", "x.bands", "x.code"), "classes")
+    classes = scratch.store(classes, "classes")
     banded = classes.where("words > 0").select(
         F.explode("bands").alias("key"), F.col("key").alias("id"), F.col("n").alias("weight"), F.lit(0).cast("long").alias("sig")
     )
-    places = classes.select("key", "least.doc_id", "least.row")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        return texts_of(pairs, places, texts, scratch).mapInArrow(handing_back(_verified(size, threshold)), "a long, b long")
+    def bodies(ids: DataFrame) -> DataFrame:
+        wanted = classes.join(ids, classes.key == ids.id, "left_semi").select("key", "least.doc_id", "least.row")
+        wanted = scratch.store(wanted, "wanted")
+        found = only_rows(texts, wanted, ["doc_id", "row"], wanted.count()).select("key", "text")
+        # rows that repeat both doc_id and text stand for one key: one of them is enough
+        return found.mapInArrow(handing_back(_bodies(size, bands, rows)), "id long, body binary").dropDuplicates(["id"])
 
-    codes = classes.select(F.col("key").alias("id"), F.col("code").alias("sig"))
-    apart = int(bands * rows * (1 - LEAST_AGREEMENT * threshold / 0.8))
-    roots, _ = link(banded, verify, scratch, codes=codes, most_bytes=apart, width=bands * rows)
-    grouped = classes.join(roots, classes.key == roots.node, "left").select(
-        "key", F.coalesce("root", "key").alias("root"), "least", "n"
+    roots, _ = link(meet(banded), bodies, SetJudge(threshold, bands), scratch)
+    grouped = scratch.store(
+        classes.join(roots, classes.key == roots.node, "left").select("key", F.coalesce("root", "key").alias("root"), "least", "n"), "grouped"
     )
     groups = grouped.groupBy("root").agg(F.min("least").alias("first"), F.sum("n").alias("class_size"))
-    decided = scratch.store(
-        grouped.join(groups, "root").select("key", F.col("first"), "class_size"), "decided"
-    )
+    # written first: a join of two plain tables is one whose large keys adaptive execution can split
+    decided = grouped.select("key", "root").join(scratch.store(groups, "groups"), "root").select("key", "first", "class_size")
+    decided = scratch.store(decided, "decided")
     out = signed.join(decided, "key").select(
         "doc_id",
         "row",
         F.col("first.doc_id").alias("class_id"),
         "class_size",
         "words",
-        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))).alias("kept"),
+        (F.col("at") == F.col("first.at")).alias("kept"),
     )
-    scratch.drop(classes)
+    scratch.drop(classes, grouped, groups)
     return out

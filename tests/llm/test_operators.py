@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kelvinlake.llm import _arrays, bm25, dartminhash, htmltext, linededup, mixing, packing, queries, severity, tokencount, urltrie, winnow
-from kelvinlake.llm._links import link
+from kelvinlake.llm._links import link, meet
 from kelvinlake.llm.wordbpe import ChunkEncoder
 from kelvinlake.operators.components import components
 from kelvinlake.scratch import Scratch
@@ -33,7 +33,7 @@ ODD = [
 
 
 def words(text):
-    return re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (text or "").lower())
+    return re.findall(r"(?:[a-z0-9]|[\u0080-\u2fff\ua000-\U0010ffff])+|[\u3000-\u9fff]", (text or "").lower())
 
 
 @pytest.fixture(scope="module")
@@ -91,12 +91,38 @@ def test_components(spark):
     assert got == {i: low[root[i]] for i in {x for a, b in edges if a != b for x in (a, b)}}
 
 
-def test_link_loses_none_of_a_dense_bucket(spark):
-    # 60 rows in one bucket; links form three groups, none of them with the leader's rows alone
-    rows = spark.createDataFrame([(1, i, 60 - i, 0) for i in range(60)], "key long, id long, weight long, sig long")
-    verify = lambda p: p.where("a % 3 = b % 3 and abs(a - b) <= 6")
-    roots, _ = link(rows, verify, Scratch(spark, "t"), 3)
-    assert {r.node: r.root for r in roots.collect()} == {i: i % 3 for i in range(60)}
+def number_judge():
+    class NumberJudge:
+        """Links numbers of one rest modulo 3 that are at most 6 apart."""
+
+        def pairs(self, x, y):
+            x, y = (np.array([int.from_bytes(v.as_py(), "little") for v in z]) for z in (x, y))
+            return (x % 3 == y % 3) & (abs(x - y) <= 6)
+
+        def prepare(self, bodies):
+            return np.array([int.from_bytes(x, "little") for x in bodies])
+
+        def may(self, block, i, j):
+            return np.ones((len(i), len(j)), bool)
+
+        def row(self, block, i, j, key):
+            return (block[i] % 3 == block[j] % 3) & (abs(block[i] - block[j]) <= 6)
+
+    return NumberJudge()
+
+
+@pytest.mark.parametrize("n", [60, 700])  # one block, and slices against slices
+def test_link_loses_none_of_a_dense_bucket(spark, monkeypatch, n):
+    from kelvinlake.llm import _links
+
+    monkeypatch.setattr(_links, "SLICE", 128)
+    # one bucket; links form three groups, none of them with the leader's rows alone
+    rows = spark.createDataFrame([(1, i, n - i, 0) for i in range(n)], "key long, id long, weight long, sig long")
+    table = spark.createDataFrame([(i, i.to_bytes(4, "little")) for i in range(n)], "id long, body binary")
+    bodies = lambda ids: table.join(ids, "id")
+    roots, links = link(meet(rows), bodies, number_judge(), Scratch(spark, "t"))
+    assert {r.node: r.root for r in roots.collect()} == {i: i % 3 for i in range(n)}
+    assert links.count() < 3 * n  # no row per pair
 
 
 # --- 1 lines
@@ -123,44 +149,57 @@ def test_edit_similar():
         assert linededup.edit_similar(a, b, 0.8) == (distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9)
 
 
-def test_block_keys_find_all_near(spark):
-    rng = random.Random(2)
-    for blocks in (4, 5, 7):
-        sig = [rng.getrandbits(64) for _ in range(50)]
-        near = [s ^ sum(1 << b for b in rng.sample(range(64), 3)) for s in sig]
-        rows = [(i, *(x - (1 << 64) if x >> 63 else x for x in p)) for i, p in enumerate(zip(sig, near, strict=True))]
-        df = spark.createDataFrame(rows, "i long, s long, t long")
-        both = F.size(F.array_intersect(linededup.block_keys(F.col("s"), blocks), linededup.block_keys(F.col("t"), blocks)))
-        assert df.where(both == 0).count() == 0
+def line_words(line):
+    return re.findall(r"[a-z0\u0080-\u2fff\ua000-\U0010ffff]+|[\u3000-\u9fff]", re.sub("[0-9]", "0", line.lower()))
+
+
+def test_share_words():
+    rng = random.Random(6)
+    for _ in range(2000):
+        x, y = (sorted(rng.choices(range(6), k=rng.randrange(1, 15))) for _ in "xy")
+        longer = max(len(x), len(y))
+        both = sum((collections.Counter(x) & collections.Counter(y)).values())
+        assert linededup.share_words(np.array(x), np.array(y), 0.8) == (both >= longer - int(0.2 * longer + 1e-9))
 
 
 def test_lines_brute_force(docs):
+    """Groups by edit similarity alone, of all lines that aren't blank."""
     rows = sorted(docs.select("doc_id", "text").collect())
     at, normal = [], []
     for r in rows:
         for i, line in enumerate(r.text.split("\n")):
-            w = [x for x in linededup.normal_words(line) if x]
-            if len(w) >= linededup.LEAST_WORDS:
+            if line.strip():
                 at.append((r.doc_id, i))
-                normal.append(w)
-    hashed, off = _arrays.word_hashes(pa.array([" ".join(w) for w in normal]), True)
-    sig = linededup.simhash(hashed, off)
+                normal.append(line_words(line) or [line.strip()])
+    counts = np.zeros((len(normal), 128), np.int16)
+    for i, w in enumerate(normal):
+        for x in w:
+            counts[i, zlib.crc32(x.encode()) % 128] += 1
+    size = np.array([len(w) for w in normal])
     linked = []
-    for i in range(len(sig)):
-        for j in np.flatnonzero(np.bitwise_count(sig[i + 1 :] ^ sig[i]) <= linededup.MOST_BITS) + i + 1:
+    for i in range(len(normal)):
+        most = 2 * (0.2 * np.maximum(size[i], size[i + 1 :]) + 1e-9)  # each edit moves two counts
+        for j in np.flatnonzero(np.abs(counts[i + 1 :] - counts[i]).sum(1) <= most) + i + 1:
             if linededup.edit_similar(normal[i], normal[j], linededup.SIMILARITY):
                 linked.append((i, int(j)))
     groups = collections.defaultdict(list)
     for i, g in enumerate(brute_groups(len(at), linked)):
         groups[g].append(at[i])
-    want = sorted(x for g in groups.values() for x in g if x != min(g))
+    want = {x for g in groups.values() for x in g if x != min(g)}
     out = linededup.dedup_lines(docs).collect()
-    assert sorted((r.doc_id, i) for r in out for i in r.dropped) == want and want
+    got = {(r.doc_id, i) for r in out for i in r.dropped}
+    assert want and not got - want and len(got) >= 0.99 * len(want)  # long lines are found by a sample of n-grams
     text = {r.doc_id: r.text for r in rows}
     for r in out:
         assert r.text == "\n".join(x for i, x in enumerate(text[r.doc_id].split("\n")) if i not in set(r.dropped))
 
 
+def test_short_and_wordless_lines(spark):
+    rows = [(1, "Yes.\n----\n\n今日は、良い天気です\n* * *"), (2, "yes\n----\n\n今日も、良い天気です\nno"), (3, "----- \n----"), (4, "今日は雨が降る")]
+    out = {r.doc_id: (r.text, r.dropped) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: (rows[0][1], []), 2: ("\nno", [0, 1, 3]), 3: ("----- ", [1]), 4: (rows[3][1], [])}
+
+
 def test_lines_find_all_similar(spark):
     """Groups by edit similarity alone, at distances up to the limit and past it."""
     rng = random.Random(12)
@@ -180,8 +219,7 @@ def test_lines_find_all_similar(spark):
     for i, g in enumerate(brute_groups(len(rows), linked)):
         first.setdefault(g, i)
     out = linededup.dedup_lines(spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")).collect()
-    short = {i for i, r in enumerate(rows) if len(r) < linededup.LEAST_WORDS}
-    assert {r.doc_id for r in out if not r.dropped} - short == set(first.values()) - short
+    assert {r.doc_id for r in out if not r.dropped} == set(first.values())
 
 
 def test_lines_odd(odd, empty):
@@ -277,7 +315,7 @@ def test_near_duplicates_odd(odd, empty):
     assert len(out) == len(ODD)
     by = {r.doc_id: r for r in out}
     assert by[8].class_id == 7 and not by[8].kept and by[7].kept
-    assert by[12].class_id == 5 and by[12].class_size == 3 and sum(r.kept for r in out if r.doc_id == 5) == 2
+    assert by[12].class_id == 5 and by[12].class_size == 3 and sum(r.kept for r in out if r.doc_id == 5) == 1
     assert by[2].class_id is None and by[4].class_size == 1  # texts without words are one class; its least id is null
     assert dartminhash.near_duplicates(empty).count() == 0
 
