@@ -13,16 +13,11 @@ import pyarrow.compute as pc
 SLICE_BYTES = 6_000_000
 CHUNK = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
-_WORD = np.zeros(256, bool)
-for _lo, _hi in ((48, 57), (65, 90), (97, 122), (128, 255)):
-    _WORD[_lo : _hi + 1] = True
-_SAME = np.arange(256, dtype=np.uint8)
-_ZERO_DIGITS = _SAME.copy()
-_ZERO_DIGITS[48:58] = 48
+#: Bytes of words as they are hashed, and 0 for all others; with digits alike, and not.
+_PLAIN = bytes(b if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 0 for b in range(256))
+_ZERO_DIGITS = bytes(48 if 48 <= b <= 57 else _PLAIN[b] for b in range(256))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -63,20 +58,6 @@ def handing_back(run: Callable) -> Callable:
     return task
 
 
-_pow = np.ones(1, np.uint64)
-_inv = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) < n:
-        for base, name in ((_BASE, "_pow"), (_INVERSE, "_inv")):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            globals()[name] = np.multiply.accumulate(p)
-    return _pow, _inv
-
-
 def as_large(texts: pa.Array) -> pa.LargeStringArray:
     return pc.fill_null(texts.cast(pa.large_string()), "")
 
@@ -89,6 +70,23 @@ def text_buffer(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _byte_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of each run of bytes, eight at a time."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mix64((eight[start] & _FIRST_BYTES[np.minimum(size, 8)]) + size.astype(np.uint64) * _GOLD)
+    more, at = np.flatnonzero(size > 8), 8
+    while len(more):
+        rest = np.minimum(size[more] - at, 8)
+        out[more] = mix64(out[more] * _GOLD + (eight[start[more] + at] & _FIRST_BYTES[rest]))
+        at += 8
+        more = more[size[more] > at]
+    return out
+
+
 def word_hashes(texts: pa.Array, digits_alike: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, word offset of each row, rows + 1).
 
@@ -99,19 +97,19 @@ def word_hashes(texts: pa.Array, digits_alike: bool = False) -> tuple[np.ndarray
     """
     low = pc.utf8_lower(as_large(texts))
     data, off = text_buffer(low)
-    fold = _ZERO_DIGITS if digits_alike else _SAME
+    data = np.frombuffer(data.tobytes().translate(_ZERO_DIGITS if digits_alike else _PLAIN), np.uint8)
     first = np.zeros(len(data) + 1, bool)
     first[off] = True  # a row's end is a word's end
     found, starts = [], []
     at = 0
     while at < len(data):
         end = min(at + CHUNK, len(data))
-        while end < len(data) and not first[end] and _WORD[data[end]] and _WORD[data[end - 1]]:
+        while end < len(data) and not first[end] and data[end] and data[end - 1]:
             step = data[end : end + CHUNK]
-            stop = np.flatnonzero(~_WORD[step] | first[end : end + len(step)])
+            stop = np.flatnonzero((step == 0) | first[end : end + len(step)])
             end += int(stop[0]) if len(stop) else len(step)
-        part = fold[data[at:end]]
-        is_word = _WORD[part]
+        part = data[at:end]
+        is_word = part != 0
         new = first[at:end]
         alone = np.flatnonzero((part >= 0xE3) & (part <= 0xE9))  # first of the three bytes of U+3000 to U+9FFF
         if len(alone):
@@ -124,16 +122,7 @@ def word_hashes(texts: pa.Array, digits_alike: bool = False) -> tuple[np.ndarray
         ends[:-1] &= ~is_word[1:] | new[1:]
         s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         if len(s):
-            power, inverse = _powers(len(part))
-            v = part.astype(np.uint64)
-            v += np.uint64(1)
-            v *= power[: len(part)]
-            np.cumsum(v, out=v)
-            h = v[e - 1]
-            h[s > 0] -= v[s[s > 0] - 1]
-            h *= inverse[s]
-            h += (e - s).astype(np.uint64) * _GOLD
-            found.append(mix64(h))
+            found.append(_byte_hashes(part, s, e - s))
             starts.append(s + at)
         at = end
     if not found:

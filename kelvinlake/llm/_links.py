@@ -35,7 +35,7 @@ SPARSE = 4
 #: Compared at once in a dense bucket.
 BLOCK = 2048
 #: Members on one side of a block.
-SLICE = 512
+SLICE = 256
 
 Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
