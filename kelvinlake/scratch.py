@@ -1,7 +1,8 @@
 """Tables that cut a lineage, written where every executor can read them back.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``. Where a
-session has no such setting (tests, a laptop), a local temporary folder is used.
+The folder is the one the cluster names in ``spark.checkpoint.dir``. Where a local
+session has no such setting (tests, a laptop), a temporary folder is used; on a cluster
+that is an error, as each executor would write to its own disk.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session; sets one only where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="kelvinlake-")
         spark.conf.set("spark.checkpoint.dir", named)
         atexit.register(_remove, spark, named)
@@ -32,6 +35,10 @@ def _remove(spark: SparkSession, uri: str) -> None:
         return
 
 
+#: Removes an execution's shuffle files at its end; they are of no use once its table is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables of one query. ``drop`` removes those that its result doesn't read."""
 
@@ -46,7 +53,12 @@ class Scratch:
     def store(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and return the written table."""
         at = self.path(name)
-        df.write.option("compression", "zstd").parquet(at)
+        was = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(at)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if was is None else self.spark.conf.set(_CLEANUP, was)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._kelvinlake_path = at  # noqa: SLF001 - lets drop() find the table
         return out
