@@ -173,23 +173,25 @@ def _joining(judge: Judge):
             state = judge.prepare(body)
             a, b = [], []
             step = max(1, BLOCK * BLOCK // 64 // max(1, len(every)))
-            for i, may in ((i, m) for lo in range(0, len(rest), step) for i, m in zip(rest[lo : lo + step], judge.may(state, rest[lo : lo + step], every), strict=True)):
-                may = may & (root[every] != root[i]) & (~outside | (ids[every] > ids[i]))
-                if not may.any():
-                    continue
-                j = every[may]
-                few = 1
-                while len(j):  # a few members of each other component first: one link to it is enough
-                    j = j[np.argsort(root[j], kind="stable")]
-                    now = np.arange(len(j)) - np.searchsorted(root[j], root[j]) < few
-                    for to in j[now][judge.row(state, i, j[now], int(key[i]))]:
-                        if root[to] != root[i]:
-                            a.append(ids[i])
-                            b.append(ids[to])
-                            root[root == root[to]] = root[i]
-                    j = j[~now]
+            for lo in range(0, len(rest), step):
+                part = rest[lo : lo + step]
+                may = (root[every] != root[part][:, None]) & (~outside | (ids[every] > ids[part][:, None]))
+                if may.any():
+                    may &= judge.may(state, part, every)
+                for i, j in ((part[r], every[may[r]]) for r in np.flatnonzero(may.any(1))):
                     j = j[root[j] != root[i]]
-                    few *= 4
+                    few = 1
+                    while len(j):  # a few members of each other component first: one link to it is enough
+                        j = j[np.argsort(root[j], kind="stable")]
+                        now = np.arange(len(j)) - np.searchsorted(root[j], root[j]) < few
+                        for to in j[now][judge.row(state, i, j[now], int(key[i]))]:
+                            if root[to] != root[i]:
+                                a.append(ids[i])
+                                b.append(ids[to])
+                                root[root == root[to]] = root[i]
+                        j = j[~now]
+                        j = j[root[j] != root[i]]
+                        few *= 4
             if a:
                 yield batch_of(PAIRS, [np.minimum(a, b), np.maximum(a, b)])
 
