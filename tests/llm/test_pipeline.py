@@ -61,3 +61,25 @@ def test_odd_tables(spark):
         docs = f(spark, docs, SF)
         docs = spark.createDataFrame(docs.collect(), docs.schema)
     assert docs.where("doc_id = 3").count() >= 1
+
+
+def test_columns_of_any_name_pass(spark):
+    """Columns that operators make themselves, and rows that repeat."""
+    names = "row key grade p_toxic expected_severity lines dropped tokens block weight copies _copy _d _r _row kept".split()
+    texts = ["a b c d e f g h", "a b c d e f g h", "another line of words\nand one more here", None, ""]
+    rows = [(i // 2, t, "en", f"s{i}", None if t is None else len(t), *(f"{c}{i}" for c in names)) for i, t in enumerate(texts)]
+    rows.append(rows[2])
+    docs = spark.createDataFrame(rows, f"{DOCS}, " + ", ".join(f"`{c}` string" for c in names))
+    for name, f in pipeline.STAGES[:-1]:
+        out = f(spark, docs, SF)
+        assert out.dtypes == docs.dtypes
+        for r in out.collect():
+            i = int(r.source[1:])
+            assert r.doc_id == i // 2 and [r[c] for c in names] == [f"{c}{i}" for c in names], name
+    assert pipeline.near_dedup(spark, docs, SF).count() == 3  # of equal rows one stays, and one of those without words
+
+
+def test_no_copies_give_no_row(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b", "en", "x", 3), (2, "c", "en", "x", 1)], DOCS)
+    monkeypatch.setattr(pipeline.mixing, "mix_sources", lambda d: d.withColumn("copies", F.when(F.col("doc_id") == 1, 0).otherwise(2).cast("long")))
+    assert [r.doc_id for r in pipeline.mix(spark, docs, SF).collect()] == [2, 2]
