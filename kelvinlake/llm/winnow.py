@@ -85,36 +85,45 @@ def digest(prints: Column) -> Column:
 BROADCAST_CHARS = 16_000_000
 
 
-def with_next(docs: DataFrame, scratch: Scratch, per_bucket: int = 1024) -> DataFrame:
+def with_next(docs: DataFrame, scratch: Scratch, per_bucket: int = 256) -> DataFrame:
     """``docs`` with ``next_text`` and ``next_prints`` (null where the row that follows is
     the first of another range of ids): the row that follows by ascending doc_id (then
-    text; nulls first), the first one after the last.
+    text; nulls first, by 4,096 ranges of their text's hash and then text), the first one
+    after the last.
 
-    Rows are grouped by ranges of doc_id, so a window sees a bounded range. Only the
-    first row of each range moves besides: it follows the last one of the range
-    before. That table has one row per ``per_bucket`` ids.
+    Rows are grouped by ranges of doc_id that hold ``per_bucket`` rows on average, however
+    sparse the ids are, so a window sees a small range. Only the first row of each range
+    moves besides: it follows the last one of the range before. Ranges are put in order
+    by groups of 1,024 ranges, and the groups' first ones by one small window.
     """
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    bucket = F.when(F.col("doc_id").isNotNull(), F.floor(F.col("doc_id") / per_bucket).cast("long"))
-    rows = docs.withColumn("_bucket", bucket)
-    place = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("d"), F.col("text").alias("t"))
-    first = scratch.store(rows.groupBy("_bucket").agg(F.min(place)["t"].alias("_first")), "first")
-    start = first.select("_bucket").orderBy(F.col("_bucket").asc_nulls_first()).limit(1).collect()
-    if not start:
-        return docs.withColumns({"next_text": F.col("text"), "next_prints": F.col("prints")})
-    line = Window.orderBy(F.col("_bucket").asc_nulls_first())
-    follow = first.select(
-        F.col("_bucket").alias("_b"), F.lead("_bucket").over(line).alias("_to"), F.lead(F.lit(1)).over(line).isNull().alias("_end")
+    ids = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("n")).first()
+    width = min(1 << 62, max(1, (ids["high"] - ids["low"] + 1) * per_bucket // ids["n"])) if ids["n"] else 1
+    rows = docs.withColumns(
+        {
+            "_b": F.coalesce(F.expr(f"doc_id div {width}L"), F.lit(-(2**63)).cast("long")),
+            "_s": F.when(F.col("doc_id").isNull(), F.shiftrightunsigned(F.xxhash64("text"), 52)).otherwise(4096),
+        }
     )
-    follow = follow.withColumn("_to", F.when(F.col("_end"), F.lit(start[0][0])).otherwise(F.col("_to"))).drop("_end")
-    after = follow.join(first, F.col("_to").eqNullSafe(F.col("_bucket"))).select("_b", F.col("_first").alias("_after"))
-    if first.agg(F.sum(F.length("_first"))).first()[0] <= BROADCAST_CHARS:
+    place = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("d"), F.col("text").alias("t"))
+    first = scratch.store(rows.groupBy("_b", "_s").agg(F.min(place)["t"].alias("_first")), "first")
+    range_ = F.struct("_b", "_s")
+    grouped = first.select("_b", "_s", F.shiftright("_b", 10).alias("_g"))
+    groups = grouped.groupBy("_g").agg(F.min(range_).alias("_head"))
+    line = Window.orderBy("_g")
+    groups = groups.select("_g", F.coalesce(F.lead("_head").over(line), F.first("_head").over(line)).alias("_then"))
+    within = Window.partitionBy("_g").orderBy("_b", "_s")
+    follow = grouped.withColumn("_to", F.lead(range_).over(within)).join(groups, "_g")
+    follow = follow.select("_b", "_s", F.coalesce("_to", "_then").alias("_to"))
+    to = first.select(range_.alias("_to"), F.col("_first").alias("_after"))
+    after = scratch.store(follow.join(to, "_to").drop("_to"), "after")
+    if (after.agg(F.sum(F.length("_after"))).first()[0] or 0) <= BROADCAST_CHARS:
         after = F.broadcast(after)
-    within = Window.partitionBy("_bucket").orderBy(*order)
-    led = rows.withColumn("_next", F.lead(F.struct("text", "prints")).over(within))
-    joined = led.join(after, F.col("_next").isNull() & F.col("_bucket").eqNullSafe(F.col("_b")), "left")
-    out = joined.withColumns({"next_text": F.coalesce(F.col("_next.text"), F.col("_after")), "next_prints": F.col("_next.prints")})
-    return out.drop("_bucket", "_next", "_after", "_b")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    led = rows.withColumn("_next", F.lead(F.struct("text", "prints")).over(Window.partitionBy("_b", "_s").orderBy(*order)))
+    out = led.join(after, ["_b", "_s"], "left")
+    last = F.col("_next").isNull()
+    out = out.withColumns({"next_text": F.when(last, F.col("_after")).otherwise(F.col("_next.text")), "next_prints": F.col("_next.prints")})
+    return out.drop("_b", "_s", "_next", "_after")
 
 
 def fingerprint_edited(docs: DataFrame, scratch: Scratch | None = None, *, gram: int = GRAM, window: int = WINDOW) -> DataFrame:

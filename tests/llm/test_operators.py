@@ -601,6 +601,19 @@ def test_fingerprint_edited(docs, spread):
         assert r.near_next == pytest.approx(len(own & nxt) / len(own | nxt)) and r.near_edited == pytest.approx(len(own & ed) / len(own | ed))
 
 
+def test_next_row_of_sparse_null_and_equal_ids(spark):
+    rng = random.Random(9)
+    ids = [rng.randrange(-(2**62), 2**62) for _ in range(300)] + [None] * 200 + [5] * 50 + list(range(40))
+    rows = [(i, " ".join(rng.choices("abcdef", k=5)) + str(k)) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("prints", F.array(F.lit(0).cast("long")))
+    hashed = dict(df.where("doc_id is null").select("text", F.shiftrightunsigned(F.xxhash64("text"), 52)).collect())
+    order = sorted(rows, key=lambda r: (r[0] is not None, hashed[r[1]] if r[0] is None else 0, r[0] or 0, r[1]))
+    want = {r: order[(k + 1) % len(order)][1] for k, r in enumerate(order)}
+    for per_bucket in (4, 256):
+        got = winnow.with_next(df, Scratch(spark, "t"), per_bucket).select("doc_id", "text", "next_text").collect()
+        assert {(r.doc_id, r.text): r.next_text for r in got} == want and len(got) == len(rows)
+
+
 def test_fingerprint_odd(odd, empty):
     out = winnow.fingerprint_edited(odd).select("doc_id", "n_chars", F.sha2("edited_text", 256), winnow.digest(F.col("prints")).alias("d")).collect()
     assert sorted((tuple(r)[:3] for r in out), key=str) == sorted(edited(ODD), key=str)
