@@ -1,4 +1,5 @@
-"""The engine's relational operators on the driver's tables, each with its SQL.
+"""Plain relational steps of the engine on the driver's tables, each with its SQL (see
+``checked`` for its operators on nested documents).
 
 Roles: an order is a document, (order, return flag) a dataset, its parts are the
 components, a line is a point, extended price and tax are properties, quantity and
@@ -13,17 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kelvinlake.functions.text import authors_year, classify_property, normalize_alias, normalize_term, system_type
-from kelvinlake.operators.components import components
-from kelvinlake.scratch import Scratch
-
-GROUPS = {
-    "ECONOMY": "VolumetricProp",
-    "STANDARD": "HeatCapacityAndDerivedProp",
-    "PROMO": "TransportProp",
-    "MEDIUM": "CompositionAtPhaseEquilibrium",
-    "LARGE": "Criticals",
-}
+from kelvinlake.functions.text import authors_year, classify_property, normalize_alias, normalize_term
+from kelvinlake.plans.nested import GROUPS, cents as _cents, group as _group
+
 _GROUP_SQL = "CASE " + " ".join(f"WHEN starts_with(p_type, '{k}') THEN '{v}'" for k, v in GROUPS.items()) + " ELSE p_type END"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,17 +37,6 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _cents(c: str):
-    return F.round(F.col(c) * 100).cast("long")
-
-
-def _dataset(df: DataFrame, *aggs) -> DataFrame:
-    return df.groupBy("l_orderkey", "l_returnflag").agg(*aggs)
-
-
-_DS = "SELECT l_orderkey, l_returnflag, count(*) n, count(DISTINCT l_partkey) k FROM lineitem GROUP BY 1, 2"
-
-
 @_register("SELECT l_orderkey, l_linenumber, l_partkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS price_cents FROM lineitem WHERE l_quantity >= 25")
 def scan_projection(spark, d):
     return _t(spark, d, "lineitem").where("l_quantity >= 25").select(
@@ -62,28 +44,6 @@ def scan_projection(spark, d):
     )
 
 
-@_register("""SELECT l_orderkey, l_linenumber, 1 AS property_number, 'price' AS property, CAST(round(l_extendedprice * 100) AS BIGINT) AS v FROM lineitem
-UNION ALL SELECT l_orderkey, l_linenumber, 2, 'tax', CAST(round(l_tax * 100) AS BIGINT) FROM lineitem""")
-def observation_long(spark, d):
-    values = F.array(
-        F.struct(F.lit(1).alias("number"), F.lit("price").alias("name"), _cents("l_extendedprice").alias("v")),
-        F.struct(F.lit(2).alias("number"), F.lit("tax").alias("name"), _cents("l_tax").alias("v")),
-    )
-    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.inline(values)).toDF(
-        "l_orderkey", "l_linenumber", "property_number", "property", "v"
-    )
-
-
-_TYPE_SQL = "CASE k WHEN 1 THEN 'pure' WHEN 2 THEN 'binary' WHEN 3 THEN 'ternary' WHEN 4 THEN 'quaternary' ELSE 'other' END"
-
-
-@_register(f"SELECT l_orderkey, l_returnflag, {_TYPE_SQL} AS system_type FROM ({_DS})")
-def system_types(spark, d):
-    return _dataset(_t(spark, d, "lineitem"), F.collect_set("l_partkey").alias("ids")).select(
-        "l_orderkey", "l_returnflag", system_type(F.col("ids")).alias("system_type")
-    )
-
-
 @_register("SELECT p_partkey, trim(regexp_replace(lower(p_type || ' / ' || p_brand), '[^a-z0-9]+', '_', 'g'), '_') AS term FROM part")
 def normalized_terms(spark, d):
     return _t(spark, d, "part").select(
@@ -98,14 +58,6 @@ def normalized_aliases(spark, d):
     )
 
 
-def _group(c: str = "p_type"):
-    out = None
-    for k, v in GROUPS.items():
-        test = F.col(c).startswith(k)
-        out = F.when(test, v) if out is None else out.when(test, v)
-    return out.otherwise(F.col(c))
-
-
 _CATEGORY_SQL = """CASE grp WHEN 'VolumetricProp' THEN 'volumetric' WHEN 'HeatCapacityAndDerivedProp' THEN 'caloric'
  WHEN 'TransportProp' THEN 'transport' WHEN 'Criticals' THEN 'critical property'
  WHEN 'CompositionAtPhaseEquilibrium' THEN CASE WHEN gas AND liquid THEN 'VLE' ELSE 'phase equilibrium' END ELSE grp END"""
@@ -122,248 +74,12 @@ def property_categories(spark, d):
     )
 
 
-@_register("""SELECT l_orderkey, '10.0000/o' || l_orderkey || '#pure-or-mixture-' || l_returnflag AS dataset_key,
- string_agg(DISTINCT 'name:part ' || l_partkey, ' | ' ORDER BY 'name:part ' || l_partkey) AS system_key FROM lineitem GROUP BY l_orderkey, l_returnflag""")
-def system_keys(spark, d):
-    names = F.collect_set(F.concat(F.lit("name:part "), "l_partkey"))
-    return _dataset(_t(spark, d, "lineitem"), names.alias("names")).select(
-        "l_orderkey",
-        F.concat(F.lit("10.0000/o"), "l_orderkey", F.lit("#pure-or-mixture-"), "l_returnflag").alias("dataset_key"),
-        F.array_join(F.array_sort("names"), " | ").alias("system_key"),
-    )
-
-
-def _brands(spark, d):
-    part = _t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    return _t(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_partkey").join(part, "l_partkey")
-
-
-_BRANDS = "(SELECT l_orderkey, l_returnflag, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey)"
-
-
-def _wanted(c, *names):
-    return F.count_distinct(F.when(F.col(c).isin(*names), F.col(c)))
-
-
-@_register(f"SELECT l_orderkey, l_returnflag FROM {_BRANDS} GROUP BY 1, 2 HAVING count(DISTINCT CASE WHEN p_brand IN ('Brand#11', 'Brand#22') THEN p_brand END) = 2")
-def match_contains(spark, d):
-    return _dataset(_brands(spark, d), _wanted("p_brand", "Brand#11", "Brand#22").alias("n")).where("n = 2").drop("n")
-
-
-@_register(f"""SELECT l_orderkey, l_returnflag FROM {_BRANDS} GROUP BY 1, 2
-HAVING count(DISTINCT CASE WHEN p_brand IN ('Brand#11', 'Brand#22') THEN p_brand END) = 2 AND count(DISTINCT p_brand) = 2""")
-def match_exact(spark, d):
-    return _dataset(
-        _brands(spark, d), _wanted("p_brand", "Brand#11", "Brand#22").alias("n"), F.count_distinct("p_brand").alias("k")
-    ).where("n = 2 and k = 2").drop("n", "k")
-
-
-@_register(f"SELECT l_orderkey, l_returnflag FROM {_BRANDS} GROUP BY 1, 2 HAVING bool_and(p_brand IN ('Brand#11', 'Brand#22', 'Brand#33', 'Brand#44'))")
-def match_within(spark, d):
-    pool = F.col("p_brand").isin("Brand#11", "Brand#22", "Brand#33", "Brand#44")
-    return _dataset(_brands(spark, d), F.bool_and(pool).alias("ok")).where("ok").drop("ok")
-
-
-@_register(f"""SELECT l_orderkey, l_returnflag FROM {_BRANDS} GROUP BY 1, 2
-HAVING bool_and(p_brand IN ('Brand#11', 'Brand#22', 'Brand#33', 'Brand#44')) AND bool_or(p_brand = 'Brand#11')""")
-def within_required(spark, d):
-    pool = F.col("p_brand").isin("Brand#11", "Brand#22", "Brand#33", "Brand#44")
-    return _dataset(
-        _brands(spark, d), F.bool_and(pool).alias("ok"), F.bool_or(F.col("p_brand") == "Brand#11").alias("has")
-    ).where("ok and has").drop("ok", "has")
-
-
-@_register("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'e')")
-def name_substring(spark, d):
-    return _t(spark, d, "part").where(F.lower("p_name").contains("e")).select("p_partkey", "p_name")
-
-
-@_register(f"WITH x AS (SELECT p_partkey, {_GROUP_SQL} AS grp FROM part) SELECT p_partkey, grp FROM x WHERE grp IN ('VolumetricProp', 'TransportProp')")
-def category_equality(spark, d):
-    x = _t(spark, d, "part").select("p_partkey", _group().alias("grp"))
-    category = normalize_term(classify_property(F.col("grp"), F.array(F.lit("Gas"))))
-    return x.where((category == "volumetric") | (normalize_term(F.col("grp")) == "transportprop"))
-
-
-@_register("SELECT l_orderkey, l_linenumber, number, name FROM (SELECT l_orderkey, l_linenumber, 1 AS number, 'Quantity, kg' AS name FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 2, 'Discount, %' FROM lineitem) WHERE contains(trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_'), 'quantity_kg')")
-def variable_substring(spark, d):
-    variables = F.array(
-        F.struct(F.lit(1).alias("number"), F.lit("Quantity, kg").alias("name")),
-        F.struct(F.lit(2).alias("number"), F.lit("Discount, %").alias("name")),
-    )
-    x = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.inline(variables))
-    return x.where(normalize_term(F.col("name")).contains("quantity_kg"))
-
-
-@_register("SELECT DISTINCT l_orderkey, l_returnflag FROM lineitem WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size <= 3)")
-def semi_component_datasets(spark, d):
-    small = _t(spark, d, "part").where("p_size <= 3").select(F.col("p_partkey").alias("l_partkey"))
-    return _t(spark, d, "lineitem").join(small, "l_partkey", "left_semi").select("l_orderkey", "l_returnflag").distinct()
-
-
 @_register("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def anti_unreferenced(spark, d):
     lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
     return _t(spark, d, "orders").select("o_orderkey").join(lines, "o_orderkey", "left_anti")
 
 
-_STRONG = "CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_brand END"
-
-
-@_register(f"""WITH x AS (SELECT p_partkey, p_name, {_STRONG} AS strong FROM part WHERE p_size = 1),
-q AS (SELECT * FROM (VALUES ('Brand#11', 'none'), (NULL, 'a'), ('Brand#22', 'b')) q(strong, name))
-SELECT p_partkey, count(*) FILTER (CASE WHEN x.strong IS NOT NULL AND q.strong IS NOT NULL THEN x.strong = q.strong ELSE contains(lower(x.p_name), q.name) END) AS matched
-FROM x, q GROUP BY p_partkey""")
-def strong_identity_match(spark, d):
-    x = _t(spark, d, "part").where("p_size = 1").withColumn("strong", F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand")))
-    wanted = [("Brand#11", "none"), (None, "a"), ("Brand#22", "b")]  # the query's identities: as many as asked for
-    total = F.lit(0)
-    for strong, name in wanted:
-        by_name = F.lower("p_name").contains(name)
-        hit = by_name if strong is None else F.when(F.col("strong").isNotNull(), F.col("strong") == strong).otherwise(by_name)
-        total = total + hit.cast("int")
-    return x.select("p_partkey", total.cast("long").alias("matched"))
-
-
-@_register("""WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS a, 100 + (s_suppkey % 40) AS b FROM supplier WHERE s_suppkey % 40 < 12 AND s_nationkey % 2 = 0),
-both_ways AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
-reach AS (SELECT u AS node, u AS low FROM both_ways UNION SELECT v, low FROM reach JOIN both_ways ON node = u)
-SELECT node, min(low) AS root FROM reach GROUP BY node""")
-def identity_components(spark, d):
-    s = _t(spark, d, "supplier").where("s_suppkey % 40 < 12 and s_nationkey % 2 = 0")
-    edges = s.select(F.col("s_nationkey").cast("long").alias("a"), (F.col("s_suppkey") % 40 + 100).alias("b"))
-    return components(edges, Scratch(spark, "identity"))
-
-
-_ALIAS = "SELECT 'name' AS kind, lower(p_name) AS alias, p_partkey FROM part UNION ALL SELECT 'formula', lower(p_type), p_partkey FROM part UNION ALL SELECT 'cas', lower(p_brand), p_partkey FROM part"
-
-
-def _aliases(spark, d):
-    pairs = F.array(*[
-        F.struct(F.lit(k).alias("kind"), F.lower(c).alias("alias"))
-        for k, c in (("name", "p_name"), ("formula", "p_type"), ("cas", "p_brand"))
-    ])
-    return _t(spark, d, "part").select(F.inline(pairs), "p_partkey")
-
-
-@_register(f"SELECT kind, alias, count(DISTINCT p_partkey) AS identities, min(p_partkey) AS first_identity FROM ({_ALIAS}) GROUP BY 1, 2")
-def alias_lookup(spark, d):
-    return _aliases(spark, d).groupBy("kind", "alias").agg(
-        F.count_distinct("p_partkey").alias("identities"), F.min("p_partkey").alias("first_identity")
-    )
-
-
-@_register(f"SELECT kind, alias FROM ({_ALIAS}) GROUP BY 1, 2 HAVING count(DISTINCT p_partkey) > 1")
-def ambiguous_aliases(spark, d):
-    return alias_lookup(spark, d).where("identities > 1").select("kind", "alias")
-
-
-@_register("""SELECT count(DISTINCT l_orderkey) AS documents, count(DISTINCT (l_orderkey, l_returnflag)) AS datasets, count(*) AS points,
- 2 * count(*) AS observations FROM lineitem""")
-def summary_totals(spark, d):
-    # two narrow aggregations rather than an expansion per distinct count
-    sets = _dataset(_t(spark, d, "lineitem"), F.count(F.lit(1)).alias("n"))
-    docs = sets.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
-    return docs.agg(
-        F.count(F.lit(1)).alias("documents"), F.sum("k").alias("datasets"), F.sum("n").alias("points"), (F.sum("n") * 2).alias("observations")
-    )
-
-
-@_register(f"""WITH x AS (SELECT {_GROUP_SQL} AS grp, p_brand, l_linestatus FROM lineitem JOIN part ON l_partkey = p_partkey)
-SELECT 'group' AS field, grp AS label, count(*) AS n FROM x GROUP BY grp UNION ALL SELECT 'component', p_brand, count(*) FROM x GROUP BY p_brand
-UNION ALL SELECT 'phase', l_linestatus, count(*) FROM x GROUP BY l_linestatus""")
-def ranking_fields(spark, d):
-    part = _t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), _group().alias("grp"), "p_brand")
-    # one pass: counts of all label combinations, then each field's own sums
-    x = _t(spark, d, "lineitem").join(part, "l_partkey").groupBy("grp", "p_brand", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
-    labels = F.create_map(F.lit("group"), F.col("grp"), F.lit("component"), F.col("p_brand"), F.lit("phase"), F.col("l_linestatus"))
-    return x.select(F.explode(labels).alias("field", "label"), "n").groupBy("field", "label").agg(F.sum("n").alias("n"))
-
-
-@_register(f"SELECT {_TYPE_SQL} AS system_type, count(*) AS datasets FROM ({_DS}) GROUP BY 1")
-def dataset_system_types(spark, d):
-    return system_types(spark, d).groupBy("system_type").agg(F.count(F.lit(1)).alias("datasets"))
-
-
-_CATALOG = f"""SELECT {_GROUP_SQL} AS category, property, variable, count(*) AS relations, count(DISTINCT (l_orderkey, l_returnflag)) AS datasets,
- count(DISTINCT l_orderkey) AS publications FROM lineitem JOIN part ON l_partkey = p_partkey,
- (VALUES ('price'), ('tax')) p(property), (VALUES ('quantity'), ('discount')) v(variable) GROUP BY 1, 2, 3"""
-
-
-def _pairs():
-    return F.array(*[
-        F.struct(F.lit(p).alias("property"), F.lit(v).alias("variable")) for p in ("price", "tax") for v in ("quantity", "discount")
-    ])
-
-
-@_register(_CATALOG)
-def catalog(spark, d):
-    part = _t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), _group().alias("category"))
-    lines = _t(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_partkey").join(part, "l_partkey")
-    # nested pre-aggregation: dataset, then publication, then category; no distinct expansion
-    sets = lines.groupBy("category", "l_orderkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
-    docs = sets.groupBy("category", "l_orderkey").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
-    total = docs.groupBy("category").agg(
-        F.sum("n").alias("relations"), F.sum("k").alias("datasets"), F.count(F.lit(1)).alias("publications")
-    )
-    return total.select("category", F.inline(_pairs()), "relations", "datasets", "publications")
-
-
-@_register(f"SELECT category, CAST(sum(relations) AS BIGINT) AS relations FROM ({_CATALOG}) GROUP BY 1")
-def catalog_categories(spark, d):
-    return catalog(spark, d).groupBy("category").agg(F.sum("relations").alias("relations"))
-
-
-@_register(f"SELECT property, CAST(sum(relations) AS BIGINT) AS relations FROM ({_CATALOG}) WHERE category = 'VolumetricProp' GROUP BY 1")
-def catalog_properties(spark, d):
-    return catalog(spark, d).where("category = 'VolumetricProp'").groupBy("property").agg(F.sum("relations").alias("relations"))
-
-
-@_register(f"SELECT variable, CAST(sum(relations) AS BIGINT) AS relations FROM ({_CATALOG}) WHERE category = 'VolumetricProp' AND contains(property, 'pri') GROUP BY 1")
-def catalog_variables(spark, d):
-    return (
-        catalog(spark, d)
-        .where((F.col("category") == "VolumetricProp") & F.col("property").contains("pri") & F.col("variable").isNotNull())
-        .groupBy("variable")
-        .agg(F.sum("relations").alias("relations"))
-    )
-
-
-_REL = """SELECT l_orderkey, l_linenumber, l_partkey, p.property, v.variable, CASE p.property WHEN 'price' THEN CAST(round(l_extendedprice * 100) AS BIGINT) ELSE CAST(round(l_tax * 100) AS BIGINT) END AS y,
- CASE v.variable WHEN 'quantity' THEN CAST(round(l_quantity * 100) AS BIGINT) ELSE CAST(round(l_discount * 100) AS BIGINT) END AS x,
- CASE v.variable WHEN 'quantity' THEN CAST(round(l_discount * 100) AS BIGINT) ELSE CAST(round(l_quantity * 100) AS BIGINT) END AS other
- FROM lineitem, (VALUES ('price'), ('tax')) p(property), (VALUES ('quantity'), ('discount')) v(variable)"""
-
-
-def _relations(spark, d):
-    y = {"price": _cents("l_extendedprice"), "tax": _cents("l_tax")}
-    v = {"quantity": _cents("l_quantity"), "discount": _cents("l_discount")}
-    rows = F.array(*[
-        F.struct(F.lit(p).alias("property"), F.lit(n).alias("variable"), y[p].alias("y"), v[n].alias("x"), v["discount" if n == "quantity" else "quantity"].alias("other"))
-        for p in y for n in v
-    ])
-    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.inline(rows))
-
-
-@_register(f"SELECT l_orderkey, l_linenumber, l_partkey, property, variable, y, x FROM ({_REL})")
-def property_relation(spark, d):
-    return _relations(spark, d).drop("other")
-
-
-@_register(f"SELECT l_orderkey, l_linenumber, l_partkey, property, variable, other, CAST(round(o_totalprice * 100) AS BIGINT) AS fixed FROM ({_REL}) JOIN orders ON l_orderkey = o_orderkey WHERE property = 'price'")
-def complementary_conditions(spark, d):
-    orders = _t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), _cents("o_totalprice").alias("fixed"))
-    return _relations(spark, d).where("property = 'price'").join(orders, "l_orderkey").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "property", "variable", "other", "fixed"
-    )
-
-
-@_register(f"SELECT l_orderkey, l_returnflag, n FROM ({_DS}) ORDER BY n DESC, l_orderkey, l_returnflag LIMIT 25")
-def rank_datasets_topk(spark, d):
-    x = _dataset(_t(spark, d, "lineitem"), F.count(F.lit(1)).alias("n"))
-    return x.orderBy(F.desc("n"), "l_orderkey", "l_returnflag").limit(25)
-
-
 @_register("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_orderkey LIMIT 10")
 def rank_publications_topk(spark, d):
     return _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l_orderkey").limit(10)
@@ -376,14 +92,6 @@ def publication_rows(spark, d):
     return _t(spark, d, "lineitem").join(top, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "relations")
 
 
-@_register("""SELECT l_orderkey, CAST(sum(CASE WHEN l_returnflag = 'A' THEN round(l_quantity * 100) END) AS BIGINT) AS quantity_a,
- CAST(sum(CASE WHEN l_returnflag = 'N' THEN round(l_quantity * 100) END) AS BIGINT) AS quantity_n,
- CAST(sum(CASE WHEN l_returnflag = 'R' THEN round(l_quantity * 100) END) AS BIGINT) AS quantity_r FROM lineitem GROUP BY 1""")
-def analysis_pivot(spark, d):
-    x = _t(spark, d, "lineitem").select("l_orderkey", "l_returnflag", _cents("l_quantity").alias("q"))
-    return x.groupBy("l_orderkey").pivot("l_returnflag", ["A", "N", "R"]).sum("q").toDF("l_orderkey", "quantity_a", "quantity_n", "quantity_r")
-
-
 @_register("""SELECT p_name FROM (SELECT l_orderkey, p_name, count(DISTINCT p_brand) AS k FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
  GROUP BY 1 HAVING max(k) > 1""")
 def ambiguous_condition_labels(spark, d):

@@ -153,9 +153,11 @@ def number(text: str | None, what: str, required: bool = False) -> str | None:
             raise ParseError(f"{what} is missing.")
         return None
     try:
-        Decimal(text)
+        signalling = Decimal(text).is_snan()
     except InvalidOperation as e:
         raise ParseError(f"{what} is no number: {text!r}.") from e
+    if signalling:
+        raise ParseError(f"{what} is no number: {text!r}.")
     return text
 
 

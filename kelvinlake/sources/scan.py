@@ -53,6 +53,18 @@ def _decode_member(row: dict, fallback: bool) -> dict:
     return out
 
 
+def _row(row: dict, fallback: bool, schema: pa.Schema) -> pa.RecordBatch:
+    """A decoded row; a document that no column can hold (a number beyond its type, half a
+    surrogate pair) is a failure of its own, not of its task."""
+    try:
+        return pa.RecordBatch.from_pylist([_decode_member(row, fallback)], schema)
+    except (pa.ArrowException, ArithmeticError, RecursionError, TypeError, ValueError) as e:
+        data = row["xml"] if row["xml"] is not None else row["json"]
+        message = str(e).encode("utf-8", "replace").decode()
+        bad = {"ordinal": row["ordinal"], "member": row["member"], "sha256": hashlib.sha256(data).hexdigest(), "error": {"kind": "ParseError", "message": message}}
+        return pa.RecordBatch.from_pylist([bad], schema)
+
+
 def decode_documents(bronze: DataFrame, *, json_fallback: bool = True, prefilter: list[bytes] | None = None, strict: bool = False) -> DataFrame:
     """Bronze rows to (ordinal, member, sha256, media_type, recovery, document, error).
 
@@ -67,8 +79,7 @@ def decode_documents(bronze: DataFrame, *, json_fallback: bool = True, prefilter
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                rows = [_decode_member(r, json_fallback) for r in batch.slice(at, 64).to_pylist()]
-                yield pa.RecordBatch.from_pylist(rows, arrow)
+                yield pa.Table.from_batches([_row(r, json_fallback, arrow) for r in batch.slice(at, 64).to_pylist()]).combine_chunks().to_batches()[0]
 
     out = bronze.mapInArrow(run, schema)
     if strict:
@@ -122,10 +133,14 @@ def read_source(spark: SparkSession, source: str | bytes | os.PathLike, label: s
     return spark.createDataFrame([(0, label, None if is_json else data, data if is_json else None)], BRONZE)
 
 
+#: Members that one archive may have: ordinals of several archives don't meet.
+MEMBERS = 1 << 40
+
+
 class _Archive(InputPartition):
-    def __init__(self, path: str):
+    def __init__(self, number: int, path: str):
         super().__init__(path)
-        self.path = path
+        self.number, self.path = number, path
 
 
 class _TarReader(DataSourceReader):
@@ -133,12 +148,12 @@ class _TarReader(DataSourceReader):
         self.paths = paths
 
     def partitions(self) -> list[_Archive]:
-        return [_Archive(p) for p in self.paths]
+        return [_Archive(i, p) for i, p in enumerate(self.paths)]
 
     def read(self, partition: _Archive) -> Iterator[tuple]:
         try:
             with tarfile.open(partition.path, "r|*") as tar:
-                for ordinal, member in enumerate(tar):
+                for ordinal, member in enumerate(tar, partition.number * MEMBERS):
                     low = member.name.lower()
                     if member.isfile() and (low.endswith(".xml") or member.name.endswith(".json")):
                         yield partition.path, ordinal, member.name, low.endswith(".xml"), tar.extractfile(member).read()

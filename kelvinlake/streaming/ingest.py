@@ -14,20 +14,26 @@ _FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def stream_files(spark: SparkSession, folder: str, *, per_batch: int = 1000) -> DataFrame:
-    """Bronze rows of the XML and JSON files that appear in a folder."""
+    """Bronze rows of the XML and JSON files that appear in a folder, one a file. An XML
+    file and its JSON twin have one ordinal, that of their common stem."""
     files = spark.readStream.format("binaryFile").schema(_FILES).option("maxFilesPerTrigger", per_batch).load(folder)
     xml = F.lower("path").endswith(".xml")
     return files.where(xml | F.col("path").endswith(".json")).select(
-        F.xxhash64("path").alias("ordinal"), F.col("path").alias("member"), F.when(xml, F.col("content")).alias("xml"),
+        F.xxhash64(F.regexp_replace("path", r"\.(?i:xml|json)$", "")).alias("ordinal"), F.col("path").alias("member"), F.when(xml, F.col("content")).alias("xml"),
         F.when(~xml, F.col("content")).alias("json"),
     )
 
 
 def ingest(bronze: DataFrame, silver: str, failures: str, checkpoint: str) -> StreamingQuery:
-    """Decoded documents to one Parquet folder, failures to another, per batch id."""
+    """Decoded documents to one Parquet folder, failures to another, per batch id. Twins that
+    arrive in one batch are one document, and the JSON one stands in for a broken XML."""
 
     def write(batch: DataFrame, number: int) -> None:
-        decoded = scan.decode_documents(batch).withColumn("batch", F.lit(number)).persist()
+        whole = F.struct(F.col("xml").isNotNull(), "member")
+        paired = batch.groupBy("ordinal").agg(
+            F.max_by("member", whole).alias("member"), F.first("xml", True).alias("xml"), F.first("json", True).alias("json")
+        )
+        decoded = scan.decode_documents(paired).withColumn("batch", F.lit(number)).persist()
         for part, to in ((scan.documents(decoded), silver), (decoded.where("error is not null").select("member", "error", "batch"), failures)):
             # a batch that runs again replaces its own partition
             part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(to)
@@ -37,5 +43,8 @@ def ingest(bronze: DataFrame, silver: str, failures: str, checkpoint: str) -> St
 
 
 def additive_rankings(spark: SparkSession, silver: str) -> DataFrame:
-    """Rankings over all ingested batches; sums of sums, so batches add up."""
-    return rankings(datasets(spark.read.parquet(silver).drop("batch")))
+    """Rankings over all ingested batches. Of twins that came in different batches the XML
+    one counts, and of a file that came again the last."""
+    rows = spark.read.parquet(silver)
+    best = rows.groupBy("ordinal").agg(F.max(F.struct("media_type", "batch")).alias("x")).select("ordinal", "x.*")
+    return rankings(datasets(rows.join(best, ["ordinal", "media_type", "batch"], "left_semi").drop("batch")))

@@ -272,3 +272,35 @@ def test_stream(spark, tmp_path):
     ingest(stream_files(spark, str(tmp_path / "in")), silver, bad, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(bad).count() == 1
     assert summary.top(additive_rankings(spark, silver), "components", 1).first()["count"] == 6
+
+
+def test_two_archives_do_not_meet(spark, tmp_path):
+    for name in ("a", "b"):
+        with tarfile.open(tmp_path / f"{name}.tar", "w") as tar:
+            info = tarfile.TarInfo("x.xml")
+            info.size = len(XML)
+            tar.addfile(info, io.BytesIO(XML))
+    bronze = scan.read_archive(spark, f"{tmp_path}/a.tar,{tmp_path}/b.tar")
+    docs = scan.documents(scan.decode_documents(bronze))
+    one = scan.documents(scan.decode_documents(scan.read_source(spark, XML)))
+    got, alone = (summary.totals(x, datasets(x)).first() for x in (docs, one))
+    assert list(got) == [2 * n for n in alone]
+    keys = lambda x: {r.stable_id for r in identity.build_index(identity.compounds(x)).collect()}
+    assert keys(docs) == keys(one)
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        lambda x: x.replace(b"<nPropValue>0.10", b"<nPropValue>sNaN"),
+        lambda x: x.replace(b"<nOrgNum>3</nOrgNum>", b"<nOrgNum>99999999999999</nOrgNum>"),
+        lambda x: b'{"a": ' * 200_000,
+        lambda x: as_json(x, x).replace(b"On gases", b"On \\ud800 gases"),
+    ],
+)
+def test_one_bad_document_fails_alone(spark, change):
+    bad = change(XML)
+    is_json = bad[:1] == b"{"
+    rows = [(0, "good", XML, None), (1, "bad", None if is_json else bad, bad if is_json else None)]
+    decoded = scan.decode_documents(spark.createDataFrame(rows, scan.BRONZE)).collect()
+    assert [(r.member, r.error is None, r.document is None) for r in decoded] == [("good", True, False), ("bad", False, True)]

@@ -4,12 +4,12 @@ import pytest
 from oracle import compare
 
 import __spark_entry__ as entry
-from kelvinlake.plans import bridge
+from kelvinlake.plans import bridge, checked
 
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(bridge.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(bridge.ORACLE_SQL | checked.ORACLE_SQL))
 def test_query(spark, name):
     assert compare(spark, entry, name, SMALL) is None
 
