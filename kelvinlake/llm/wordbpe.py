@@ -21,7 +21,7 @@ from kelvinlake.llm._arrays import as_large
 #: Distinct chunks whose ids one worker keeps; it starts anew beyond that.
 CACHED = 400_000
 #: Bytes of text whose chunks are made distinct at once.
-TEXT_BYTES = 1_000_000
+TEXT_BYTES = 3_000_000
 
 
 class ChunkEncoder:
