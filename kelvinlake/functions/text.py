@@ -60,23 +60,31 @@ def system_type(component_ids: Column) -> Column:
     return out.otherwise("other")
 
 
-def classify_property(group: Column, phases: Column) -> Column:
-    """Category of a property group; phase equilibria by the phases (array of strings)."""
-    key = normalize_term(group)
-    seen = F.array_distinct(F.transform(F.array_compact(phases), normalize_term))
+def _bound(x: Column, f) -> Column:
+    """``f(x)`` with x evaluated once: lambdas are interpreted, without shared subexpressions."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _equilibrium(seen: Column) -> Column:
     gas = F.arrays_overlap(seen, F.array(F.lit("gas"), F.lit("vapor"), F.lit("vapour")))
     liquids = F.size(F.filter(seen, lambda p: p.startswith("liquid")))
     solid = F.exists(seen, lambda p: p.startswith("solid") | (p == "crystal"))
-    out = F.when(
-        key == EQUILIBRIUM,
+    return (
         F.when(gas & (liquids > 0), "VLE")
         .when(solid & (liquids > 0), "SLE")
         .when(liquids >= 2, "LLE")
-        .otherwise("phase equilibrium"),
+        .otherwise("phase equilibrium")
+    )
+
+
+def classify_property(group: Column, phases: Column) -> Column:
+    """Category of a property group; phase equilibria by the phases (array of strings)."""
+    known = F.create_map(*[F.lit(x) for pair in (CATEGORIES | {EQUILIBRIUM: ""}).items() for x in pair])
+    seen = F.array_distinct(F.transform(F.array_compact(phases), normalize_term))
+    return _bound(
+        F.try_element_at(known, normalize_term(group)),
+        lambda found: F.when(found == "", _bound(seen, _equilibrium)).otherwise(F.coalesce(found, group)),
     )
-    for name, category in CATEGORIES.items():
-        out = out.when(key == name, category)
-    return out.otherwise(group)
 
 
 def stable_identifier(inchikey: Column, inchi: Column, cas: Column, name: Column) -> Column:

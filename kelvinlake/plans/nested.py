@@ -4,6 +4,9 @@ An order is a document, (order, return flag) a dataset, the brands of its parts
 components, a line is a point. Price and tax, by group of the part's type, are
 properties; quantity and discount are variables; the order's total is a constraint; the
 line status is a phase. A brand's maker (by its first digit) stands for its CAS number.
+
+They are written once for a session and folder, as an engine's decoded layer is: queries
+read only the nested fields they need, and don't build the documents again.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
+from kelvinlake.scratch import Scratch
 from kelvinlake.sources.schema import CITATION, COMPOUND, DATASET, DOCUMENT, RECOVERY
 
 #: Property groups by the first word of a part's type; other types are groups of their own.
@@ -60,7 +64,18 @@ def _number(group_: Column, k: int) -> Column:
     return (F.pmod(F.crc32(group_.cast("binary")), F.lit(1_000_000_000)) * 2 + k).cast("int")
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
+    """The table of ``built``, written at a session's first call for the folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        _STORED[key] = Scratch(spark, "nested").store(built(spark, d), "documents")
+    return spark.read.schema(_STORED[key].schema).parquet(_STORED[key]._kelvinlake_path)  # noqa: SLF001
+
+
+def built(spark: SparkSession, d: str) -> DataFrame:
     """Decoded rows (see ``sources.schema.DECODED``), one for each order that has lines."""
     dataset_type, compound_type, citation_type, document_type = (DataType.fromDDL(x) for x in (DATASET, COMPOUND, CITATION, DOCUMENT))
     point_type = _element(dataset_type, "points")
