@@ -168,21 +168,27 @@ def analysis_table(rows: DataFrame) -> DataFrame:
     sign = lambda x: F.struct(given(x, "source").alias("source"), given(x, "phase").alias("phase"), given(x, "component").alias("component"))
     rows = rows.withColumn("conditions", F.concat(F.array("iv"), F.col("others")))
     signed = F.transform("conditions", lambda x: F.struct(x["name"].alias("name"), sign(x).alias("sign")))
-    seen = rows.select(F.col("p.name").alias("property"), F.array_distinct(signed).alias("s"))
-    many = F.transform(
-        F.filter("s", lambda x: F.size(F.filter("s", lambda y: y["name"] == x["name"])) > 1), lambda x: x["name"]
+    # distinct first: what follows is judged once for each kind of row
+    seen = rows.select(F.col("p.name").alias("property"), F.array_distinct(signed).alias("s")).distinct()
+    entry = lambda is_property, name, many: F.struct(is_property.alias("is_property"), name.alias("name"), many.alias("many"))
+    several = lambda x: F.size(F.filter("s", lambda y: y["name"] == x["name"])) > 1
+    names = F.concat(
+        F.array(entry(F.lit(True), F.col("property"), F.lit(False))), F.transform("s", lambda x: entry(F.lit(False), x["name"], several(x)))
     )
-    labels = seen.select(F.explode("s").alias("x"), F.array_contains(many, F.col("x.name")).alias("many"))
-    # both are as many as there are quantity names, whatever the number of rows
-    found = labels.groupBy("x.name", "x.sign").agg(F.max("many").alias("many")).collect()
-    properties = sorted((r[0] for r in seen.select("property").distinct().collect()), key=lambda n: (n.casefold(), n))
-    qualified = {r["name"] for r in found if r["many"]}
+    # as many as there are quantity names, whatever the number of rows or components
+    named = seen.select(F.explode(names).alias("x")).groupBy("x.is_property", "x.name").agg(F.max("x.many").alias("many")).collect()
+    properties = sorted((r["name"] for r in named if r["is_property"]), key=lambda n: (n.casefold(), n))
+    qualified = {r["name"] for r in named if r["many"]}
+    found = [(r["name"], None) for r in named if not r["is_property"] and not r["many"]]
+    if qualified:  # each of their signatures is a column
+        signs = seen.select(F.explode("s").alias("x")).where(F.col("x.name").isin(*qualified)).select("x.name", "x.sign").distinct()
+        found += [(r["name"], tuple(r["sign"])) for r in signs.collect()]
     columns: dict[str, tuple[str, tuple | None]] = {}
-    for r in found:
-        name, (source, phase, component) = r["name"], r["sign"]
-        if name in qualified:
+    for name, exact in found:
+        if exact:
+            source, phase, component = exact
             parts = [source] + [f"{k}={v}" for k, v in (("phase", phase), ("component", component)) if v != "unspecified"]
-            columns[f"{name} [{'; '.join(parts)}]"] = name, (source, phase, component)
+            columns[f"{name} [{'; '.join(parts)}]"] = name, exact
         else:
             columns[name] = name, None
     columns = {f"{k} [condition]" if k in properties else k: v for k, v in columns.items()}
