@@ -427,6 +427,42 @@ def test_bm25_odd(odd, empty):
     assert bm25.search(empty, empty.select(F.col("doc_id").alias("query_id"), "text")).count() == 0
 
 
+def test_bm25_thresholds_and_work(spark, monkeypatch):
+    """Shards that start with the best scores of others find what one shard finds, ties included,
+    and a task's later shards score fewer blocks than they would alone."""
+    rng = random.Random(5)
+    vocabulary = [f"t{int(1.006**i)}x{i % 7}" for i in range(1200)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([5, 30, 90])))) for i in range(2400)]
+    rows += [(3000 + i, rows[i % 40][1]) for i in range(300)]  # ties at and around the k-th place
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    asked = docs.where("doc_id % 50 = 0 or doc_id >= 3290").select(F.col("doc_id").alias("query_id"), "text")
+    key = lambda r: (r.query_id, r["rank"])
+    whole = [(*key(r), r.doc_id, round(r.score, 7)) for r in sorted(bm25.search(docs.coalesce(1), asked).collect(), key=key)]
+    real, blocks = bm25.search_shard, []
+
+    def counted(*args):
+        seen = []
+        real(*args[:-1], np.zeros_like(args[-1]), seen)
+        real(*args, seen)
+        blocks.append(np.array(seen)[:, 0].tolist())
+        return real(*args)
+
+    monkeypatch.setitem(bm25.build_index.__kwdefaults__, "shard_docs", 100)
+    parts = [(*key(r), r.doc_id, round(r.score, 7)) for r in sorted(bm25.search(docs, asked).collect(), key=key)]
+    assert parts == whole
+    # the same, shard after shard in one process
+    shard = [bm25._Shard(dict(zip(r.__fields__, r, strict=True))) for r in bm25.build_index(docs).collect()]
+    got = sorted(asked.collect())
+    bag = bm25.bags(pa.array([r.text for r in got]))
+    words_, word = np.unique(bag[1], return_inverse=True)
+    best = np.zeros((len(got), bm25.TOP))
+    for x in shard:
+        q, _, s = counted(x, bag[0].astype(np.int32), word, words_, np.ones(len(words_)), bm25.TOP, 40.0, best[:, -1])
+        best = bm25._merged(best, q, s)
+    alone, after = np.array(blocks[1:]).sum(0)
+    assert after < alone
+
+
 # --- 6 toxicity
 
 
