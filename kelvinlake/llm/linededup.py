@@ -6,7 +6,7 @@ class. Classes are linked if the edit similarity of their words, 1 - distance /
 length, is at least 0.8. Candidates lose no such pair: an edit of a word changes at most
 ``GRAM`` word n-grams, so lines of n >= m words within k edits share at least
 n + 1 - GRAM * (k + 1) of them, and if all lines rank their n-grams alike, they share one
-of their first few. Rare ones rank first, by counts over a part of the documents; the
+of their first few, and a line has a posting for each of these. Rare ones rank first, by counts over a part of the documents; the
 ranking decides how many candidates there are, not which links. Postings travel as
 sorted columns, one row for each of a task's target parts. In a bucket, lengths and the
 parities of word hashes (an edit changes two bits at most) rule pairs out before they
@@ -32,9 +32,6 @@ from kelvinlake.scratch import Scratch
 
 SIMILARITY = 0.8
 GRAM = 2
-#: Postings of a line, about: lines of fewer first n-grams (up to 39 words) lose no link, longer
-#: ones one of s shared first n-grams out of t with the chance (1 - SAMPLE / t) ** s.
-SAMPLE = 16
 #: Counters that rank n-grams, and the share (one document in so many) they count.
 COUNTERS, COUNTED = 1 << 20, 32
 #: Postings that a task of the bucket stage holds, on average at most.
@@ -48,6 +45,8 @@ SIGNATURE = np.dtype([("line", np.uint64), ("place", np.uint8)])
 _LONGEST = 4095
 _BITS = 52
 _PARITY = np.uint64((1 << _BITS) - 1)
+#: Words up to which parities rule lines out: half of them differ in unlike lines, longer ones may differ in more.
+_PARITIES = 80
 
 
 def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -131,12 +130,6 @@ def gram_levels(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def _sampled(ranked: np.ndarray, take: np.ndarray) -> np.ndarray:
-    """About ``SAMPLE`` of a line's first n-grams, chosen by their hash: all of fewer."""
-    chance = mix64(ranked & np.uint64((1 << _TOKEN) - 1)) >> np.uint64(32)
-    return chance * take.astype(np.uint64) < np.uint64(SAMPLE << 32)
-
-
 def _planes(x: np.ndarray) -> bytes:
     """The bytes of a column, all first ones first: equal high bytes compress to nothing."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -183,7 +176,8 @@ def _postings(levels: np.ndarray, least: float, parts: int):
                     hi = min(lo + step, len(n))
                     own, at = words[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                     bit = np.uint64(1) << (own % np.uint64(_BITS))
-                    sig = np.bitwise_xor.reduceat(bit, at[:-1]) | (np.minimum(n[lo:hi], _LONGEST).astype(np.uint64) << np.uint64(_BITS))
+                    parity = np.where(n[lo:hi] <= _PARITIES, np.bitwise_xor.reduceat(bit, at[:-1]), np.uint64(0))
+                    sig = parity | (np.minimum(n[lo:hi], _LONGEST).astype(np.uint64) << np.uint64(_BITS))
                     token, place = _tokens(own, at)
                     level = levels[(token % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64)
                     row = row_of(place)
@@ -192,7 +186,6 @@ def _postings(levels: np.ndarray, least: float, parts: int):
                     ranked = ranked[order]
                     ok = np.arange(len(row)) - place[row] < take[lo:hi][row]
                     ok[1:] &= ranked[1:] != ranked[:-1]
-                    ok &= _sampled(ranked, take[lo:hi][row])
                     row = row[ok]
                     # an n-gram that a line repeats has no single place in it: 255 says so
                     again = np.append(ranked[1:] == ranked[:-1], False)[ok]
@@ -251,7 +244,7 @@ def may_be_similar(least: float, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     n, m = (x >> np.uint64(_BITS)).astype(np.int32), (y >> np.uint64(_BITS)).astype(np.int32)
     longer = np.maximum(n, m)
     k = edits(longer, least)
-    out = (np.abs(n - m) <= k) & (np.bitwise_count((x ^ y) & _PARITY) <= 2 * k)
+    out = (np.abs(n - m) <= k) & ((np.bitwise_count((x ^ y) & _PARITY) <= 2 * k) | (longer > _PARITIES))
     before = p * (n - 1) - q * (m - 1)  # in parts of 254, each place rounded down by less than a part of its line
     moved = np.abs(before) + np.abs((n - m) * 254 - before)
     out &= (moved <= 254 * k + 2 * (n + m)) | (p == 255) | (q == 255)

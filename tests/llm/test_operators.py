@@ -222,6 +222,20 @@ def test_lines_find_all_similar(spark):
     assert {r.doc_id for r in out if not r.dropped} == set(first.values())
 
 
+def test_long_lines_that_share_common_n_grams_only(spark):
+    """Lines at the limit whose rare n-grams all differ: of the first n-grams they share one."""
+    rng = random.Random(21)
+    name = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    phrases = [[name() for _ in range(4)] for _ in range(50)]
+    rows = []
+    for _ in range(40):
+        line = rng.choices(phrases, k=20)
+        rows += [" ".join(w for p in line for w in [*p, name()]) for _ in range(2)]
+    rows += ["\n".join([name(), *map(" ".join, phrases)]) for _ in range(300)]  # makes the phrases common
+    out = linededup.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out if r.dropped and r.doc_id < 80} == set(range(1, 80, 2))
+
+
 def test_lines_odd(odd, empty):
     out = linededup.dedup_lines(odd).collect()
     assert len(out) == len(ODD)
