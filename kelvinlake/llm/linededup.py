@@ -6,9 +6,9 @@ class. Classes are linked if the edit similarity of their words, 1 - distance /
 length, is at least 0.8. Candidates lose no such pair: an edit of a word changes at most
 ``GRAM`` word n-grams, so lines of n >= m words within k edits share at least
 n + 1 - GRAM * (k + 1) of them, and if all lines rank their n-grams alike, they share one
-of their first few, and a line has a posting for each of these. Rare ones rank first, by counts over a part of the documents; the
-ranking decides how many candidates there are, not which links. Postings travel as
-sorted columns, one row for each of a task's target parts. In a bucket, lengths and the
+of their first few, and a line has a posting for each of these. Rare ones rank first, by
+hashed counts over all documents; the ranking decides how many candidates there are, not which
+links. Postings travel as sorted columns, one row for each of a task's target parts. In a bucket, lengths and the
 parities of word hashes (an edit changes two bits at most) rule pairs out before they
 are verified. Of each connected group the first occurrence (least doc_id, row, line)
 stays.
@@ -32,8 +32,8 @@ from kelvinlake.scratch import Scratch
 
 SIMILARITY = 0.8
 GRAM = 2
-#: Counters that rank n-grams, and the share (one document in so many) they count.
-COUNTERS, COUNTED = 1 << 20, 32
+#: Counters that rank n-grams, and those that a row of a task's counts holds.
+COUNTERS, CHUNK = 1 << 20, 1 << 16
 #: Postings that a task of the bucket stage holds, on average at most.
 PART_POSTINGS = 1 << 20
 #: Postings that a task of the text stage holds before it hands them on.
@@ -64,11 +64,14 @@ def _without_words(line: pa.Array) -> np.ndarray:
 
 
 def _lines(batches):
+    total = np.zeros(COUNTERS, np.int64)
     for batch in batches:
         for part in slices(batch, "text"):
             line, at = _split(part.column("text"))
             doc = row_of(at)
             words, off = word_hashes(line, digits_alike=True)
+            token, _ = _tokens(words, off)
+            total += np.bincount((token % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
             key, n = sequence_keys(words, off), np.diff(off)
             none = np.flatnonzero(n == 0)
             key[none] = _without_words(line.take(pa.array(none)))
@@ -81,12 +84,20 @@ def _lines(batches):
                     pa.array((some - at[:-1][doc]).astype(np.int32)),
                     pa.array(key[some]),
                     pa.array(n[some].astype(np.int32)),
+                    pa.nulls(len(some), pa.binary()),
                 ],
-                ["doc_id", "row", "line", "key", "words"],
+                _NAMES,
             )
+    if total.any():
+        at = np.arange(0, COUNTERS, CHUNK)
+        nothing = [pa.nulls(len(at), t) for t in (pa.int64(), pa.int64(), pa.int32())]
+        counts = pa.array([total[x : x + CHUNK].tobytes() for x in at], pa.binary())
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array(at), pa.nulls(len(at), pa.int32()), counts], _NAMES)
 
 
-_LINES = "doc_id long, row long, line int, key long, words int"
+#: Lines; and, with ``counts``, a task's counts of n-grams from counter ``key`` on.
+_LINES = "doc_id long, row long, line int, key long, words int, counts binary"
+_NAMES = [x.split()[0] for x in _LINES.split(", ")]
 
 
 def edits(longer: np.ndarray, least: float) -> np.ndarray:
@@ -110,23 +121,21 @@ def _tokens(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix64(grams) >> np.uint64(64 - _TOKEN), at
 
 
-def _counted(batches):
-    total = np.zeros(COUNTERS, np.int64)
+def _summed(batches):
+    total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for part in slices(batch, "text"):
-            words, off = word_hashes(_split(part.column("text"))[0], digits_alike=True)
-            token, _ = _tokens(words, off)
-            total += np.bincount((token % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["counter", "n"])
+        for at, raw in zip(batch.column("key").to_pylist(), batch.column("counts"), strict=True):
+            total[at] = total.get(at, 0) + np.frombuffer(raw.as_buffer(), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["key", "counts"])
 
 
-def gram_levels(texts: DataFrame) -> np.ndarray:
-    """Level (0 to 63, the logarithm of the count) of each counter of n-grams."""
-    part = texts.where(F.pmod(F.coalesce("row", F.lit(0)), F.lit(COUNTED)) == 0)
-    counts = part.mapInArrow(handing_back(_counted), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+def gram_levels(counts: DataFrame) -> np.ndarray:
+    """Level (0 to 63, the logarithm of the count) of each counter of n-grams, from the
+    counts (key, counts) of all tasks."""
     out = np.zeros(COUNTERS, np.uint8)
-    out[counts["counter"].to_numpy()] = np.minimum(63, 3 * np.log2(1 + counts["n"].to_numpy()))
+    parts = counts.repartition(COUNTERS // CHUNK, "key").mapInArrow(handing_back(_summed), "key long, counts binary").toArrow()
+    for at, raw in zip(parts["key"].to_pylist(), parts["counts"].to_pylist(), strict=True):
+        out[at : at + CHUNK] = np.minimum(63, 3 * np.log2(1 + np.frombuffer(raw, np.int64)))
     return out
 
 
@@ -352,14 +361,17 @@ def line_classes(docs: DataFrame, scratch: Scratch, *, similarity: float = SIMIL
     if similarity < 0.7:
         raise ValueError("lines that are less similar than 0.7 needn't share an n-gram")
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    lines = scratch.store(texts.mapInArrow(handing_back(_lines), _LINES), "lines")
+    both = scratch.store(texts.mapInArrow(handing_back(_lines), _LINES), "lines")
+    lines = both.where("counts is null").drop("counts")
+    lines._kelvinlake_path = both._kelvinlake_path  # noqa: SLF001 - lets drop() find the table
+    levels = gram_levels(both.where("counts is not null").select("key", "counts"))
     place = F.struct("doc_id", "row", "line")
     classes = scratch.store(lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
     # a line of n words has about 2 GRAM n / 10 postings; parts grow in number with them, not in size
     postings = lines.agg(F.sum(F.lit(1) + F.col("words") * (GRAM * (1 - similarity) * 1.25))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(postings / PART_POSTINGS) + 1)
     met = (
-        texts.mapInArrow(handing_back(_postings(gram_levels(texts), similarity, 2 * parts)), "part int, postings binary")
+        texts.mapInArrow(handing_back(_postings(levels, similarity, 2 * parts)), "part int, postings binary")
         .repartition(parts, "part")
         .sortWithinPartitions("part")
         .mapInArrow(handing_back(_met(similarity)), FIRST)

@@ -236,6 +236,17 @@ def test_long_lines_that_share_common_n_grams_only(spark):
     assert {r.doc_id for r in out if r.dropped and r.doc_id < 80} == set(range(1, 80, 2))
 
 
+def test_n_grams_are_counted_in_all_documents(spark, docs, monkeypatch):
+    levels, real = [], linededup.gram_levels
+    monkeypatch.setattr(linededup, "gram_levels", lambda *args: levels.append(real(*args)) or levels[-1])
+    linededup.line_classes(docs.repartition(3), Scratch(spark, "levels"))
+    want = np.zeros(linededup.COUNTERS, np.int64)
+    for r in docs.collect():
+        words_, off = _arrays.word_hashes(pa.array((r.text or "").split("\n")), digits_alike=True)
+        np.add.at(want, (linededup._tokens(words_, off)[0] % np.uint64(linededup.COUNTERS)).astype(np.int64), 1)
+    assert (levels[0] == np.minimum(63, 3 * np.log2(1 + want)).astype(np.uint8)).all()
+
+
 def test_lines_odd(odd, empty):
     out = linededup.dedup_lines(odd).collect()
     assert len(out) == len(ODD)
