@@ -2,8 +2,10 @@
 bucket and without a row per pair of a dense one.
 
 A bucket is a set of rows with one key. One with few near pairs gives them all; a
-dense one gives its members' pairs with its first member, and its members. Pairs
-are judged on the two rows' bodies, and components of the links are found. A dense
+dense one gives its members' pairs with its first member, and its members. Where similar
+rows must share several keys, a bucket gives its pairs a part of ``WHOLE`` only, and pairs
+that don't come to it over all buckets are not tried; one that meets in a dense bucket is
+covered by that. Pairs are judged on the two rows' bodies, and components of the links are found. A dense
 bucket in which more than one component is left is then dealt out in blocks: its
 members outside its largest component, in slices, against all members, in slices.
 A task judges the pairs of a block that lie in different components and gives a link
@@ -26,17 +28,20 @@ from kelvinlake.llm._arrays import handing_back
 from kelvinlake.operators.components import components
 from kelvinlake.scratch import Scratch
 
-FIRST = "key long, a long, b long"
+FIRST = "key long, a long, b long, weight long"
 PAIRS = "a long, b long"
+#: Weight from which a pair is tried; 2 to 6 buckets can share it evenly.
+WHOLE = 60
 #: Members up to which buckets of one size are compared together.
 SMALL = 8
-#: Near pairs per member up to which a bucket gives them all at once.
+#: Near pairs of whole weight per member up to which a bucket gives them all at once.
 SPARSE = 4
 #: Compared at once in a dense bucket.
 BLOCK = 2048
 #: Members on one side of a block.
 SLICE = 256
 
+#: Whether pairs are near, or their weights: 0 for those that aren't.
 Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -87,55 +92,69 @@ def batch_of(schema: str, cols: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in cols], names)
 
 
-def _few_pairs(sig: np.ndarray, near: Near | None) -> tuple[np.ndarray, np.ndarray] | None:
-    """The near pairs of a bucket, or None if it has more than ``SPARSE`` per member."""
+def _weights(near: Near, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    found = near(x, y)
+    return found * np.int64(WHOLE) if found.dtype == bool else found
+
+
+def _few_pairs(sig: np.ndarray, near: Near | None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """The near pairs of a bucket and their weights, or None if they weigh more than ``SPARSE`` per member."""
     m, count, found = len(sig), 0, []
     if near is None:  # all pairs are near
-        return None if (m - 1) / 2 > SPARSE else np.triu_indices(m, 1)
+        return None if (m - 1) / 2 > SPARSE else (*np.triu_indices(m, 1), np.full(m * (m - 1) // 2, WHOLE))
     for at in range(0, m, BLOCK):
         for to in range(at, m, BLOCK):
-            i, j = np.nonzero(near(sig[at : at + BLOCK, None], sig[None, to : to + BLOCK]))
+            weight = _weights(near, sig[at : at + BLOCK, None], sig[None, to : to + BLOCK])
+            i, j = np.nonzero(weight)
             later = i + at < j + to
-            found.append((i[later] + at, j[later] + to))
-            count += len(found[-1][0])
-            if count > SPARSE * m:
+            i, j = i[later], j[later]
+            found.append((i + at, j + to, weight[i, j]))
+            count += int(found[-1][2].sum())
+            if count > SPARSE * WHOLE * m:
                 return None
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def buckets(key: np.ndarray, ids: np.ndarray, sig: np.ndarray, near: Near | None) -> Iterator[pa.RecordBatch]:
     """Rows of ``FIRST`` of whole buckets, which are runs of equal keys in which equal ids
-    are neighbours: pairs (a, b), and members a of dense buckets, with b null."""
+    are neighbours: pairs (a, b) with what they weigh, and members a of dense buckets, with b null."""
     once = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
     key, ids, sig = key[once], ids[once], sig[once]
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     start, size = edge[:-1], np.diff(edge)
-    a, b, rows = [], [], []
+    a, b, w, rows = [], [], [], []
     for m in range(2, SMALL + 1):  # all buckets of one size together
         at = start[size == m]
         for i in range(m):
             for j in range(i + 1, m):
-                ok = slice(None) if near is None else near(sig[at + i], sig[at + j])
+                weight = np.full(len(at), WHOLE) if near is None else _weights(near, sig[at + i], sig[at + j])
+                ok = weight > 0
                 a.append(ids[(at + i)[ok]])
                 b.append(ids[(at + j)[ok]])
+                w.append(weight[ok])
     for lo, m in zip(start[size > SMALL], size[size > SMALL], strict=True):
         pairs = _few_pairs(sig[lo : lo + m], near)
         if pairs is not None:
             a.append(ids[lo + pairs[0]])
             b.append(ids[lo + pairs[1]])
+            w.append(pairs[2])
             continue
         r = np.arange(lo, lo + m)
         rows.append(r)
-        ok = r[1:] if near is None else r[1:][near(sig[r[0]], sig[r[1:]])]
+        ok = r[1:] if near is None else r[1:][near(sig[r[0]], sig[r[1:]]) > 0]
         a.append(np.full(len(ok), ids[r[0]]))
         b.append(ids[ok])
+        w.append(np.full(len(ok), WHOLE))
     if a and sum(map(len, a)):
-        x, y = np.concatenate(a), np.concatenate(b)
-        pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-        yield batch_of(FIRST, [pa.nulls(pair.shape[1], pa.int64()), pair[0], pair[1]])
+        x, y, weight = np.concatenate(a), np.concatenate(b), np.concatenate(w)
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+        yield batch_of(FIRST, [pa.nulls(len(new), pa.int64()), x[new], y[new], np.add.reduceat(weight[order].astype(np.int64), new)])
     if rows:
         r = np.concatenate(rows)
-        yield batch_of(FIRST, [key[r], ids[r], pa.nulls(len(r), pa.int64())])
+        yield batch_of(FIRST, [key[r], ids[r], *[pa.nulls(len(r), pa.int64())] * 2])
 
 
 def meet(rows: DataFrame, near: Near | None = None) -> DataFrame:
@@ -234,7 +253,7 @@ def link(first: DataFrame, bodies: Callable[[DataFrame], DataFrame], judge: Judg
     """
     first = scratch.store(first, "first")
     tried = scratch.store(
-        first.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried"
+        first.where("b is not null").groupBy("a", "b").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= WHOLE).select("a", "b"), "tried"
     )
     dense = first.where("b is null").select("key", F.col("a").alias("id"))
     ids = tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))).unionByName(dense.select("id"))

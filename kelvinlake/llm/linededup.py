@@ -6,7 +6,8 @@ class. Classes are linked if the edit similarity of their words, 1 - distance /
 length, is at least 0.8. Candidates lose no such pair: an edit of a word changes at most
 ``GRAM`` word n-grams, so lines of n >= m words within k edits share at least
 n + 1 - GRAM * (k + 1) of them, and if all lines rank their n-grams alike, they share one
-of their first few, and a line has a posting for each of these. Rare ones rank first, by
+of their first few, and a line has a posting for each of these. Longer lines have some more
+and must share as many (``shared_grams``) in places that fit. Rare ones rank first, by
 hashed counts over all documents; the ranking decides how many candidates there are, not which
 links. Postings travel as sorted columns, one row for each of a task's target parts. In a bucket, lengths and the
 parities of word hashes (an edit changes two bits at most) rule pairs out before they
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kelvinlake.llm._arrays import as_large, handing_back, mix64, row_of, sequence_keys, shingles, slices, word_hashes
 from kelvinlake.llm._fetch import only_rows
-from kelvinlake.llm._links import FIRST, buckets, link
+from kelvinlake.llm._links import FIRST, WHOLE, buckets, link
 from kelvinlake.scratch import Scratch
 
 SIMILARITY = 0.8
@@ -47,6 +48,8 @@ _BITS = 52
 _PARITY = np.uint64((1 << _BITS) - 1)
 #: Words up to which parities rule lines out: half of them differ in unlike lines, longer ones may differ in more.
 _PARITIES = 80
+#: Words for each further n-gram that lines must share, and the most of these that count.
+_WORDS_A_SHARED, _MOST_SHARED = 24, 6
 
 
 def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -105,14 +108,20 @@ def edits(longer: np.ndarray, least: float) -> np.ndarray:
     return ((1 - least) * longer + 1e-9).astype(np.int64)
 
 
+def shared_grams(n: np.ndarray) -> np.ndarray:
+    """How many of their first n-grams lines, the shorter of n words, share at least if they are
+    similar and not equal. Much less than all that they share, n - GRAM * edits or so."""
+    return 1 + np.minimum(n // _WORDS_A_SHARED, _MOST_SHARED - 1)
+
+
 def first_grams(n: np.ndarray, least: float) -> np.ndarray:
-    """How many first n-grams of a line of n words meet every line that is similar to
-    it and not equal; 0 if there can be none."""
+    """How many first n-grams of a line of n words have ``shared_grams`` in common with every
+    line that is similar to it and not equal; 0 if there can be none."""
     out = np.zeros(len(n), np.int64)
     # a similar line of j words more shares (n + j) + 1 - GRAM * (k + 1) n-grams; beyond this j the bound only falls
     for j in range(int(GRAM / (1 - GRAM * (1 - least))) + 1):
         k = edits(n + j, least)
-        out = np.maximum(out, np.where((k >= 1) & (k >= j), 1 + GRAM * k - j, 0))
+        out = np.maximum(out, np.where((k >= 1) & (k >= j), shared_grams(n) + GRAM * k - j, 0))
     return np.minimum(out, np.maximum(n + 1 - GRAM, 0))
 
 
@@ -246,8 +255,9 @@ def _met(least: float):
 
 
 def may_be_similar(least: float, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether two lines' lengths, parities and the places of the shared n-gram allow the
-    similarity. Words before it and behind it must be moved by as many edits."""
+    """The share of ``WHOLE`` of an n-gram that two lines have in common, 0 if their lengths, parities
+    or its places rule the similarity out. Words before it and behind it must be moved by as many edits.
+    One that a line repeats may stand for all that they must share."""
     p, q = x["place"].astype(np.int32), y["place"].astype(np.int32)
     x, y = x["line"], y["line"]
     n, m = (x >> np.uint64(_BITS)).astype(np.int32), (y >> np.uint64(_BITS)).astype(np.int32)
@@ -256,8 +266,10 @@ def may_be_similar(least: float, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     out = (np.abs(n - m) <= k) & ((np.bitwise_count((x ^ y) & _PARITY) <= 2 * k) | (longer > _PARITIES))
     before = p * (n - 1) - q * (m - 1)  # in parts of 254, each place rounded down by less than a part of its line
     moved = np.abs(before) + np.abs((n - m) * 254 - before)
-    out &= (moved <= 254 * k + 2 * (n + m)) | (p == 255) | (q == 255)
-    return out | (longer == _LONGEST)
+    again = (p == 255) | (q == 255)
+    out &= (moved <= 254 * k + 2 * (n + m)) | again
+    out |= longer == _LONGEST
+    return np.where(out, np.where(again, WHOLE, WHOLE // shared_grams(np.minimum(n, m))), 0)
 
 
 def edit_similar(x: list, y: list, least: float) -> bool:

@@ -236,6 +236,55 @@ def test_long_lines_that_share_common_n_grams_only(spark):
     assert {r.doc_id for r in out if r.dropped and r.doc_id < 80} == set(range(1, 80, 2))
 
 
+def test_lines_that_share_few_n_grams_are_not_tried(spark):
+    """Long lines that have one rare phrase in common, in one place, are no candidates; similar ones are."""
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    rows = []
+    for _ in range(30):
+        phrase = [name(), name()]
+        for _ in range(6):
+            line = [name() for _ in range(130)]
+            line[64:66] = phrase
+            rows.append(line)
+    for line in rows[:10]:
+        rows.append([name() if i % 6 == 5 else w for i, w in enumerate(line)])
+
+    class Counting(Scratch):
+        tried = 0
+
+        def store(self, df, name):
+            out = super().store(df, name)
+            self.tried += out.count() if name == "tried" else 0
+            return out
+
+    scratch = Counting(spark, "few")
+    out = linededup.dedup_lines(spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string"), scratch).collect()
+    assert {r.doc_id for r in out if r.dropped} == set(range(180, 190))
+    assert scratch.tried == 10  # 450 and those to the copies if one n-gram were enough
+
+
+def test_lines_of_few_words_that_repeat(spark):
+    """N-grams that a line repeats stand for all that it shares."""
+    rng = random.Random(8)
+    rows = []
+    for n in [24, 30, 48, 75, 100, 130] * 3:
+        words = [f"v{chr(97 + len(rows) // 26)}{chr(97 + len(rows) % 26)}{x}" for x in "abcdefgh"[: rng.choice([2, 3, 8])]]
+        line = rng.choices(words, k=n)
+        rows.append(line)
+        for edits in (n // 10, n // 5, n // 5 + 2):
+            copy = line[:]
+            for at in rng.sample(range(n), edits):
+                copy[at] = f"x{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}"
+            rows.append(copy)
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if linededup.edit_similar(rows[i], rows[j], 0.8)]
+    first = {}
+    for i, g in enumerate(brute_groups(len(rows), linked)):
+        first.setdefault(g, i)
+    out = linededup.dedup_lines(spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out if not r.dropped} == set(first.values())
+
+
 def test_n_grams_are_counted_in_all_documents(spark, docs, monkeypatch):
     levels, real = [], linededup.gram_levels
     monkeypatch.setattr(linededup, "gram_levels", lambda *args: levels.append(real(*args)) or levels[-1])
