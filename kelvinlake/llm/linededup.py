@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelvinlake.llm._arrays import as_large, handing_back, mix64, row_of, sequence_keys, shingles, slices, word_hashes
-from kelvinlake.llm._fetch import only_rows
+from kelvinlake.llm._fetch import BROADCAST_ROWS, likely_rows, only_rows
 from kelvinlake.llm._links import FIRST, WHOLE, buckets, link
 from kelvinlake.scratch import Scratch
 
@@ -397,7 +397,8 @@ def line_classes(docs: DataFrame, scratch: Scratch, *, similarity: float = SIMIL
         )
         wanted = scratch.store(wanted, "wanted")  # an array is bounded by its document's lines
         entries = wanted.agg(F.sum(F.size("at"))).first()[0] or 0
-        found = only_rows(texts, wanted, ["doc_id", "row"], entries).withColumn("all", F.split("text", "\n"))
+        likely = texts if entries <= BROADCAST_ROWS else likely_rows(texts, wanted)
+        found = only_rows(likely, wanted, ["doc_id", "row"], entries).withColumn("all", F.split("text", "\n"))
         at = F.transform("at", lambda x: F.struct(x["key"].alias("key"), F.get("all", x["line"]).alias("text")))
         return (
             found.select(F.explode(at).alias("x")).select("x.key", "x.text").mapInArrow(handing_back(_bodies), "id long, body binary").dropDuplicates(["id"])
