@@ -17,7 +17,7 @@ stays.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +42,18 @@ HELD_POSTINGS = 1 << 21
 _TOKEN = 40
 #: A signature: the number of words, if it is less than this, above parities of their hashes;
 #: and the n-gram's place in the line, in parts of 256.
-SIGNATURE = np.dtype([("line", np.uint64), ("place", np.uint8)])
+SIGNATURE = np.dtype([("line", np.uint64), ("place", np.uint8)], align=True)
 _LONGEST = 4095
 _BITS = 52
 _PARITY = np.uint64((1 << _BITS) - 1)
 #: Words up to which parities rule lines out: half of them differ in unlike lines, longer ones may differ in more.
 _PARITIES = 80
+#: Pairs of lines whose edits are counted at once; fewer, and those of more times 64 words, go one by one.
+PAIRS_AT_ONCE, FEW_PAIRS, MOST_PARTS = 2048, 16, 8
+#: Lines on one side of a block.
+SIDE = 1024
+#: Cells over which the words of a block's lines are counted, at most.
+_CELLS = 2048
 #: Words for each further n-gram that lines must share, and the most of these that count.
 _WORDS_A_SHARED, _MOST_SHARED = 24, 6
 
@@ -157,12 +163,20 @@ def _column(raw: bytes, at: int, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8 * n * at).reshape(8, n).T).view(np.uint64).ravel()
 
 
+def _order(token: np.ndarray) -> np.ndarray:
+    """Places of tokens in their order; equal ones as they came."""
+    bits = np.uint64(64 - _TOKEN)
+    if len(token) >> 64 - _TOKEN:
+        return np.argsort(token, kind="stable")
+    return (np.sort(token << bits | np.arange(len(token), dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))).view(np.int64)
+
+
 def _handed_on(held: list, parts: int) -> pa.RecordBatch:
     """One row for each part: its postings sorted by token, as differences, ids and signatures."""
     token, ids, sig, place = (np.concatenate([x[c] for x in held]) for c in range(4))
-    part = mix64(token) % np.uint64(parts)
-    order = np.lexsort((token, part))
-    token, ids, sig, place, part = token[order], ids[order], sig[order], place[order], part[order]
+    order = _order(token)
+    token, ids, sig, place = token[order], ids[order], sig[order], place[order]
+    part = token * np.uint64(parts) >> np.uint64(_TOKEN)  # ranges of tokens
     edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
     blobs = [
         _planes(np.diff(token[lo:hi], prepend=np.uint64(0))) + _planes(ids[lo:hi]) + _planes(sig[lo:hi]) + place[lo:hi].tobytes()
@@ -200,7 +214,7 @@ def _postings(levels: np.ndarray, least: float, parts: int):
                     level = levels[(token % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64)
                     row = row_of(place)
                     ranked = (row.astype(np.uint64) << np.uint64(_TOKEN + 6)) | (level << np.uint64(_TOKEN)) | token
-                    order = np.argsort(ranked, kind="stable")
+                    order = np.argsort(ranked)
                     ranked = ranked[order]
                     ok = np.arange(len(row)) - place[row] < take[lo:hi][row]
                     ok[1:] &= ranked[1:] != ranked[:-1]
@@ -231,12 +245,13 @@ def _met(least: float):
             sig.append(np.zeros(n, SIGNATURE))
             sig[-1]["line"], sig[-1]["place"] = _column(raw, 2, n), np.frombuffer(raw, np.uint8, n, 24 * n)
         token, ids, sig = np.concatenate(token), np.concatenate(ids), np.concatenate(sig)
-        order = np.argsort(token, kind="stable")
+        order = _order(token)
         sorted_ = token[order]
         alone = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
         order = order[~(alone & np.concatenate([alone[1:], [True]]))]
         if len(order):
-            order = order[np.lexsort((ids[order], token[order]))]
+            order = order[np.argsort(ids[order])]
+            order = order[_order(token[order])]
             yield from buckets(token[order].view(np.int64), ids[order].view(np.int64), sig[order], partial(may_be_similar, least))
 
     def run(batches):
@@ -258,18 +273,26 @@ def may_be_similar(least: float, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The share of ``WHOLE`` of an n-gram that two lines have in common, 0 if their lengths, parities
     or its places rule the similarity out. Words before it and behind it must be moved by as many edits.
     One that a line repeats may stand for all that they must share."""
-    p, q = x["place"].astype(np.int32), y["place"].astype(np.int32)
-    x, y = x["line"], y["line"]
-    n, m = (x >> np.uint64(_BITS)).astype(np.int32), (y >> np.uint64(_BITS)).astype(np.int32)
+    a, b = x["line"], y["line"]
+    n, m = (a >> np.uint64(_BITS)).astype(np.int32), (b >> np.uint64(_BITS)).astype(np.int32)
     longer = np.maximum(n, m)
-    k = edits(longer, least)
-    out = (np.abs(n - m) <= k) & ((np.bitwise_count((x ^ y) & _PARITY) <= 2 * k) | (longer > _PARITIES))
+    k = _edits_of(least)[longer]
+    ok = (np.abs(n - m) <= k) & ((np.bitwise_count((a ^ b) & _PARITY) <= 2 * k) | (longer > _PARITIES)) | (longer == _LONGEST)
+    out = np.zeros(len(ok), np.int64)
+    some = np.flatnonzero(ok)  # few: the rest is for them alone
+    n, m, k, longer = n[some], m[some], k[some], longer[some]
+    p, q = x["place"][some].astype(np.int32), y["place"][some].astype(np.int32)
     before = p * (n - 1) - q * (m - 1)  # in parts of 254, each place rounded down by less than a part of its line
     moved = np.abs(before) + np.abs((n - m) * 254 - before)
     again = (p == 255) | (q == 255)
-    out &= (moved <= 254 * k + 2 * (n + m)) | again
-    out |= longer == _LONGEST
-    return np.where(out, np.where(again, WHOLE, WHOLE // shared_grams(np.minimum(n, m))), 0)
+    fits = (moved <= 254 * k + 2 * (n + m)) | again | (longer == _LONGEST)
+    out[some] = np.where(fits, np.where(again, WHOLE, WHOLE // shared_grams(np.minimum(n, m))), 0)
+    return out
+
+
+@cache
+def _edits_of(least: float) -> np.ndarray:
+    return edits(np.arange(_LONGEST + 1), least).astype(np.int32)
 
 
 def edit_similar(x: list, y: list, least: float) -> bool:
@@ -322,36 +345,119 @@ def share_words(x: np.ndarray, y: np.ndarray, least: float) -> bool:
     return int((y[at[ok]] == x[ok]).sum()) >= need
 
 
+def _flat(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(words, offsets) of bodies."""
+    bodies = bodies.cast(pa.large_binary())
+    _, offsets, data = bodies.buffers()
+    off = np.frombuffer(offsets, np.int64)[bodies.offset : bodies.offset + len(bodies) + 1]
+    words = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+    return words.view(np.uint32), (off - off[0]) // 4
+
+
+def _distances(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Edit distance of the first n[i] words of each row of x and the first m[i] of y, m falling from row
+    to row and all of n in the same 64 words: ``edit_similar``'s columns of differences in integers of 64
+    bits, each with what the one below carries, those of all rows at once."""
+    one = np.uint64(1)
+    parts = -(-int(n[0]) // 64)
+    last = ((n - 1) % 64).astype(np.uint64)
+    more, less = np.full((parts, len(n)), ~np.uint64(0)), np.zeros((parts, len(n)), np.uint64)
+    distance, equal = n.astype(np.int64), np.zeros((len(n), 64 * parts), bool)
+    for k in range(int(m[0])):
+        rows = int(np.searchsorted(-m, -k))  # those with a word k
+        np.equal(x[:rows], y[:rows, k, None], out=equal[:rows, : x.shape[1]])
+        same_all = np.packbits(equal[:rows], axis=1, bitorder="little").view("<u8")
+        carry_up, carry_down = one, None
+        for part in range(parts):
+            same, high, low = same_all[:, part], more[part, :rows], less[part, :rows]
+            beside = same | low
+            if carry_down is not None:
+                same = same | carry_down
+            across = (((same & high) + high) ^ high) | same
+            up, down = low | ~(across | high), high & across
+            if part == parts - 1:
+                distance[:rows] += ((up >> last[:rows]) & one).view(np.int64) - ((down >> last[:rows]) & one).view(np.int64)
+            carried = up >> np.uint64(63), down >> np.uint64(63)
+            up, down = up << one | carry_up, down << one
+            if carry_down is not None:
+                down |= carry_down
+            more[part, :rows], less[part, :rows] = down | ~(beside | up), up & beside
+            carry_up, carry_down = carried
+    return distance
+
+
+def _rows(words: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A row for each run of words, filled up with zeros."""
+    out = np.zeros((len(n), int(n.max(initial=1))), np.uint32)
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    out[row, at] = words[np.repeat(start, n) + at]
+    return out
+
+
+def similar_pairs(words: np.ndarray, off: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """``edit_similar`` of lines i and j, whose words lie between their offsets: many pairs of like lengths
+    at a time, very long ones one by one."""
+    size = np.diff(off)
+    i, j = np.where(size[i] <= size[j], i, j), np.where(size[i] <= size[j], j, i)
+    n, m = size[i], size[j]
+    k = edits(m, least)
+    out = m - n <= k
+    out[n == 0] &= m[n == 0] == 0
+    some = np.flatnonzero(out & (n > 0))
+    parts = (n[some] + 63) // 64
+    order = np.lexsort((-m[some], parts))
+    some, parts = some[order], parts[order]
+    edge = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]])) if len(some) else []
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        for at in (some[x : min(x + PAIRS_AT_ONCE, hi)] for x in range(lo, hi, PAIRS_AT_ONCE)):
+            if parts[lo] <= MOST_PARTS and len(at) >= FEW_PAIRS:
+                x, y = _rows(words, off[i[at]], n[at]), _rows(words, off[j[at]], m[at])
+                out[at] = _distances(x, n[at], y, m[at]) <= k[at]
+                continue
+            for one in at:
+                x, y = words[off[i[one]] : off[i[one] + 1]], words[off[j[one]] : off[j[one] + 1]]
+                out[one] = share_words(np.sort(x), np.sort(y), least) and edit_similar(x.tolist(), y.tolist(), least)
+    return out
+
+
 class LineJudge:
     """Links bodies (32 bits of each word's hash) whose edit similarity reaches ``least``."""
 
     def __init__(self, least: float):
         self.least = least
 
-    def _similar(self, x: np.ndarray, y: np.ndarray) -> bool:
-        return share_words(np.sort(x), np.sort(y), self.least) and edit_similar(x.tolist(), y.tolist(), self.least)
-
     def pairs(self, x: pa.Array, y: pa.Array) -> np.ndarray:
-        both = zip(x, y, strict=True)
-        return np.array([self._similar(*(np.frombuffer(v.as_buffer(), np.uint32) for v in p)) for p in both], bool)
+        words, off = _flat(pa.concat_arrays([x, y]))
+        i = np.arange(len(x))
+        return similar_pairs(words, off, i, i + len(x), self.least)
 
     def prepare(self, bodies: list[bytes]):
-        words = [np.frombuffer(x, np.uint32) for x in bodies]
-        n = np.array([len(w) for w in words])
-        cell = np.concatenate([(w % np.uint32(64)).astype(np.int64) + 64 * i for i, w in enumerate(words)])
-        return words, n, np.bincount(cell, minlength=64 * len(words)).reshape(-1, 64).astype(np.int16), [np.sort(w) for w in words]
+        words, off = _flat(pa.array(bodies, pa.binary()))
+        owner = row_of(off)
+        order = np.lexsort((words, owner))  # owners are in order as they are
+        word = words[order].astype(np.uint64)
+        first = np.concatenate([[True], (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])])[: len(word)]
+        start = np.flatnonzero(first)
+        nth = np.arange(len(word)) - np.repeat(start, np.diff(np.append(start, len(word))))
+        # a word's second occurrence in a line is a word of its own
+        names, cell, n = np.unique(word | nth.astype(np.uint64) << np.uint64(32), return_inverse=True, return_counts=True)
+        cells = np.cumsum(n > 1) - 1  # words of one line are of no use
+        shared = n[cell] > 1
+        cell, owner = cells[cell[shared]] % _CELLS, owner[shared]
+        width = min(_CELLS, int(cells[-1]) + 1 if len(cells) else 0)
+        counts = np.bincount(cell + width * owner, minlength=width * len(bodies)).reshape(len(bodies), -1).astype(np.float32)
+        return words, off, np.diff(off), counts
 
     def may(self, block, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        n, counts = block[1:3]
-        k = edits(np.maximum(n[i][:, None], n[j][None]), self.least)
-        # an edit takes a word out of one cell and puts one into another
-        return np.abs(counts[i][:, None] - counts[j][None]).sum(2) <= 2 * k - np.abs(n[i][:, None] - n[j][None])
+        n, counts = block[2:]
+        longer = np.maximum(n[i][:, None], n[j][None])
+        need = longer - edits(longer, self.least)
+        # an edit takes a word away; what lines have in common is in one cell: no more than this
+        return (counts[i] @ counts[j].T >= need) & (np.minimum(n[i][:, None], n[j][None]) >= need)
 
-    def row(self, block, i: int, j: np.ndarray, key: int) -> np.ndarray:
-        words, ordered = block[0], block[3]
-        may = [share_words(ordered[i], ordered[x], self.least) for x in j]
-        own = words[i].tolist()
-        return np.array([ok and edit_similar(own, words[x].tolist(), self.least) for ok, x in zip(may, j, strict=True)], bool)
+    def several(self, block, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return similar_pairs(*block[:2], i, j, self.least)
 
 
 def _bodies(batches):
@@ -404,7 +510,7 @@ def line_classes(docs: DataFrame, scratch: Scratch, *, similarity: float = SIMIL
             found.select(F.explode(at).alias("x")).select("x.key", "x.text").mapInArrow(handing_back(_bodies), "id long, body binary").dropDuplicates(["id"])
         )
 
-    roots, links = link(met, bodies, LineJudge(similarity), scratch)
+    roots, links = link(met, bodies, LineJudge(similarity), scratch, side=SIDE)
     known = classes.select("key", "first", "n").join(roots, F.col("key") == F.col("node"), "left")
     grouped = known.where("node is not null or n > 1").select("key", F.coalesce("root", "key").alias("root"), "first", "n")
     grouped = scratch.store(grouped, "grouped")

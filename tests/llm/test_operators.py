@@ -111,6 +111,89 @@ def number_judge():
     return NumberJudge()
 
 
+def test_blocks_of_wider_sides_deal_fewer_rows(spark):
+    """The same pairs, dealt out in fewer rows: members of a dense bucket times the other side's slices."""
+    from kelvinlake.llm import _links
+
+    dense = spark.createDataFrame([(1, i) for i in range(2000)], "key long, id long")
+    roots = spark.createDataFrame([(i, i % 500 if i >= 1500 else 0) for i in range(2000)], "node long, root long")
+    for side, most in ((256, 12000), (1024, 3000)):
+        rows = _links._blocks(dense, roots, Scratch(spark, "t"), side).collect()
+        meets = collections.defaultdict(lambda: (set(), set()))
+        for r in rows:
+            meets[r.block][r.side > 0].add(r.id)
+        pairs = {(i, j) for outside, every in meets.values() for i in outside for j in every}
+        outside = [i for i in range(1501, 2000)]
+        assert len(rows) < most and pairs == {(i, j) for i in outside for j in range(2000)}
+
+
+def test_blocks_are_judged_one_by_one():
+    """Members of different blocks in a batch aren't compared, and what a task has joined isn't judged again."""
+    from kelvinlake.llm import _links
+
+    def tried(judge_, blocks):
+        rows = [(block, 1, x, x, 2, x.to_bytes(4, "little")) for block, ids in enumerate(blocks) for x in ids]
+        rows += [(block, 1, x, x, 0, x.to_bytes(4, "little")) for block, ids in enumerate(blocks) for x in ids]
+        cols = list(zip(*sorted(rows, key=lambda r: (r[0], r[4], r[2])), strict=True))
+        batch = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], _links._BLOCKS)
+        n, real = [], judge_.row
+        judge_.row = lambda block, i, j, key: n.append(len(j)) or real(block, i, j, key)
+        links = [x for b in _links._joining(judge_)([batch]) for x in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)]
+        return sum(n), links
+
+    apart = number_judge()
+    apart.row = lambda block, i, j, key: np.zeros(len(j), bool)
+    assert tried(apart, [range(10 * b, 10 * b + 10) for b in range(20)]) == (20 * 45, [])
+    once, links = tried(number_judge(), [range(12)])
+    many, again = tried(number_judge(), [range(12)] * 20)
+    # pairs of different components, here three, are judged in every block; others once
+    assert links == again and many - once <= 19 * 12 * 11 // 2 and len(links) == 9
+
+
+def test_buckets_of_one_size_are_compared_together():
+    from kelvinlake.llm import _links
+
+    rng = np.random.default_rng(4)
+    size = rng.integers(9, 15, 300)
+    key = np.repeat(np.arange(300), size)
+    ids, sig = np.arange(len(key)), rng.integers(0, 40, len(key))
+    calls = []
+
+    def near(x, y):
+        calls.append(1)
+        return np.abs(x - y) <= 1
+
+    got = collections.Counter()
+    for batch in _links.buckets(key, ids, sig, near):
+        for a, b, w in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["weight"].to_pylist(), strict=True):
+            got[a, b] = w
+    want = {(i, j): _links.WHOLE for i in range(len(key)) for j in range(i + 1, len(key)) if key[i] == key[j] and abs(sig[i] - sig[j]) <= 1}
+    assert got == want and len(calls) < 30
+
+
+def test_similar_pairs():
+    """Many pairs at a time: as one by one, whatever the lengths."""
+    rng = random.Random(11)
+    lines = []
+    for n in [0, 1, 2, 5, 20, 63, 64, 65, 100, 127, 128, 129, 190, 520, 600] * 40:
+        few = rng.choice([2, 20, 500])
+        x = rng.choices(range(few), k=n)
+        y = x[:]
+        for _ in range(rng.randrange(n // 4 + 2)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(2)] = rng.choices(range(few), k=rng.randrange(2))
+        lines += [x, y]
+    want = [linededup.edit_similar(x, y, 0.8) for x, y in zip(lines[::2], lines[1::2], strict=True)]
+    body = pa.array([np.array(x, np.uint32).tobytes() for x in lines], pa.binary())
+    judge_ = linededup.LineJudge(0.8)
+    i = np.arange(0, len(lines), 2)
+    assert 0.2 < np.mean(want) < 1 and judge_.pairs(body.take(i), body.take(i + 1)).tolist() == want
+    block = judge_.prepare(body.to_pylist())
+    assert judge_.several(block, i, i + 1).tolist() == want
+    may = judge_.may(block, i, i + 1)
+    assert may.diagonal()[want].all() and may.mean() < 0.2
+
+
 @pytest.mark.parametrize("n", [60, 700])  # one block, and slices against slices
 def test_link_loses_none_of_a_dense_bucket(spark, monkeypatch, n):
     from kelvinlake.llm import _links
